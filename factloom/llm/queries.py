@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import groups
+from . import byte_bpe, containers, groups
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,22 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.fact_groups(table(spark, sf_dir, "fact_relationships"), table(spark, sf_dir, "canonical_facts"))
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode(table(spark, sf_dir, "documents"))
+
+
+def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.token_counts(table(spark, sf_dir, "documents"))
+
+
+def p7_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containers.fill(byte_bpe.token_counts(table(spark, sf_dir, "documents")))
+
+
+def p7_fullness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containers.fullness(p7_bins(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1:2].isdigit() and callable(f)}
 
