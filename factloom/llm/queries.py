@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import byte_bpe, containers, groups
+from . import byte_bpe, containers, groups, repeated_lines
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,19 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.fact_groups(table(spark, sf_dir, "fact_relationships"), table(spark, sf_dir, "canonical_facts"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines.repeated_elements(table(spark, sf_dir, "document_elements"))
+
+
+def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["element_id", "source_file", "page_number", "element_type", "text", "heading", "top", "loaded_at"]
+    return repeated_lines.without_repeated(table(spark, sf_dir, "document_elements").select(columns)).drop("loaded_at")
+
+
+def p5_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines.rebuilt_files(spark, table(spark, sf_dir, "document_elements"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"))
 
@@ -43,4 +56,20 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-SQL: dict[str, str] = {}
+_LINES = r"""
+lines AS (
+    SELECT element_id, source_file, split_part(source_file, '/', 1) AS issuer,
+        lower(regexp_replace(text, '[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}0-9]+', '', 'g')) AS line
+    FROM document_elements WHERE source_file IS NOT NULL AND text IS NOT NULL
+),
+repeated AS (SELECT issuer, line FROM lines WHERE line <> '' GROUP BY ALL HAVING count(DISTINCT source_file) >= 12)
+"""
+
+SQL: dict[str, str] = {
+    "p5_found": f"WITH {_LINES} SELECT DISTINCT element_id FROM lines SEMI JOIN repeated USING (issuer, line) WHERE element_id IS NOT NULL",
+    "p5_clean": f"""WITH {_LINES},
+        found AS (SELECT DISTINCT element_id FROM lines SEMI JOIN repeated USING (issuer, line) WHERE element_id IS NOT NULL)
+        SELECT element_id, source_file, page_number, element_type, text, heading, top FROM document_elements
+        WHERE element_id IS NOT NULL AND element_id NOT IN (SELECT element_id FROM found)
+        QUALIFY row_number() OVER (PARTITION BY element_id ORDER BY loaded_at DESC) = 1""",
+}
