@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import byte_bpe, containers, groups, repeated_lines
+from . import byte_bpe, containers, groups, repeated_lines, residue, splitting
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,14 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.fact_groups(table(spark, sf_dir, "fact_relationships"), table(spark, sf_dir, "canonical_facts"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.oversized(table(spark, sf_dir, "compact_contexts"))
+
+
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_contexts(table(spark, sf_dir, "compact_contexts"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines.repeated_elements(table(spark, sf_dir, "document_elements"))
 
@@ -48,6 +56,19 @@ def p7_fullness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers.fullness(p7_bins(spark, sf_dir))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_kinds(spark, sf_dir).select("doc_id").distinct()
+
+
+def p8_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(table(spark, sf_dir, "documents"))
+
+
+def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.join(p8_found(spark, sf_dir), "doc_id", "left_anti").select("doc_id", "lang", "source", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1:2].isdigit() and callable(f)}
 
@@ -66,6 +87,10 @@ repeated AS (SELECT issuer, line FROM lines WHERE line <> '' GROUP BY ALL HAVING
 """
 
 SQL: dict[str, str] = {
+    "p3_found": r"""
+        SELECT DISTINCT context_id FROM compact_contexts
+        WHERE length(array_to_string(list_filter(list_transform(evidence, lambda e: e.text), lambda t: t IS NOT NULL AND t <> ''), chr(10) || chr(10))) // 4 > 2500
+            AND context_id IS NOT NULL""",
     "p5_found": f"WITH {_LINES} SELECT DISTINCT element_id FROM lines SEMI JOIN repeated USING (issuer, line) WHERE element_id IS NOT NULL",
     "p5_clean": f"""WITH {_LINES},
         found AS (SELECT DISTINCT element_id FROM lines SEMI JOIN repeated USING (issuer, line) WHERE element_id IS NOT NULL)
