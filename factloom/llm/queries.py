@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import byte_bpe, containers, groups, repeated_lines, residue, splitting
+from . import byte_bpe, containers, groups, neighbours, repeated_lines, residue, splitting
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,10 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.fact_groups(table(spark, sf_dir, "fact_relationships"), table(spark, sf_dir, "canonical_facts"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_pairs(table(spark, sf_dir, "evidence_units"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.oversized(table(spark, sf_dir, "compact_contexts"))
 
