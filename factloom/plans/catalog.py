@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import problems
+from . import problems, structure
 
-MODULES = [problems]
+MODULES = [structure, problems]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
