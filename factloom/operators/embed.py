@@ -52,7 +52,8 @@ def hash_counts(c: Column, dim: int = DIM) -> Column:
     """Counts of the text's words by bucket (four digits of MD5 of the word, modulo dim): an embedder that needs no model."""
     tokens = T.words(F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9%]+", " ")))
     buckets = F.transform(tokens, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 4), 16, 10).cast("int") % dim)
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)))
+    # Each word's bucket is worked out once, and adds to one place of the counts.
+    return F.aggregate(buckets, F.array_repeat(F.lit(0), dim), lambda counts, b: F.transform(counts, lambda x, i: x + (i == b).cast("int")))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import problems, structure
+from . import facts, problems, structure
 
-MODULES = [structure, problems]
+MODULES = [structure, facts, problems]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

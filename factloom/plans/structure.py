@@ -307,3 +307,13 @@ SQL = {
         best AS (SELECT f, section_heading AS h FROM heads QUALIFY row_number() OVER (PARTITION BY f ORDER BY n DESC, p) = 1)
         SELECT f AS source_file, coalesce(any_value(h), first(table_caption ORDER BY pos) FILTER (coalesce(table_caption, '') <> ''), first(left(coalesce(text, ''), 100) ORDER BY pos)) AS topic_label FROM m LEFT JOIN best USING (f) GROUP BY f""",
 }
+SQL["split_tables"] = f"""WITH RECURSIVE {_REBUILT},
+    head AS (SELECT source_file, page_number, identity, table_id, greatest(1, length(array_to_string(list_filter(list_concat([caption, unit], headers), lambda x: coalesce(x, '') <> ''), ' ')) // 4) AS base FROM assessed WHERE NOT deterministic),
+    rws AS MATERIALIZED (SELECT table_id, base, row_number() OVER (PARTITION BY table_id ORDER BY evidence_id) AS pos,
+        greatest(1, length(array_to_string(list_concat([coalesce(label, '')], list_transform(kept, lambda p: p.k || '=' || p.v)), ' ')) // 4) AS cost
+        FROM valued v JOIN head h ON h.source_file IS NOT DISTINCT FROM v.source_file AND h.page_number IS NOT DISTINCT FROM v.page_number AND h.identity = v.identity),
+    walk(table_id, pos, cost, chunk_no, held, base) AS (
+        SELECT table_id, pos, cost, 0, base + cost, base FROM rws WHERE pos = 1
+        UNION ALL SELECT r.table_id, r.pos, r.cost, CASE WHEN w.held + r.cost > 60 THEN w.chunk_no + 1 ELSE w.chunk_no END, CASE WHEN w.held + r.cost > 60 THEN r.base + r.cost ELSE w.held + r.cost END, r.base
+        FROM walk w JOIN rws r ON r.table_id = w.table_id AND r.pos = w.pos + 1)
+    SELECT table_id, chunk_no, count(*) AS n_rows, sum(cost) + max(base) AS n_tokens FROM walk GROUP BY table_id, chunk_no"""
