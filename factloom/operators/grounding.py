@@ -10,7 +10,7 @@ from ..functions import text as T
 
 def context_evidence(contexts: DataFrame) -> DataFrame:
     """(context_id, ord, e): the evidence of each context in order, one row per context and place."""
-    one = contexts.where("context_id is not null").groupBy("context_id").agg(F.max_by("evidence", "loaded_at").alias("evidence"))
+    one = contexts.where("context_id is not null").groupBy("context_id").agg(F.max_by("evidence", F.struct("loaded_at", F.xxhash64("evidence"))).alias("evidence"))
     return one.select("context_id", F.posexplode("evidence").alias("ord", "e")).where("e is not null")
 
 

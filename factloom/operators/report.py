@@ -27,7 +27,7 @@ def keyword_score(text: Column, keywords: list[str]) -> Column:
 
 def context_scores(contexts: DataFrame, keywords: list[str]) -> DataFrame:
     """(context_id, document, score): document is the file of the context's first evidence."""
-    one = contexts.where("context_id is not null").groupBy("context_id").agg(F.max_by("evidence", "loaded_at").alias("evidence"))
+    one = contexts.where("context_id is not null").groupBy("context_id").agg(F.max_by("evidence", F.struct("loaded_at", F.xxhash64("evidence"))).alias("evidence"))
     return one.select("context_id", T.text_of(F.get("evidence", F.lit(0))["source_file"]).alias("document"), keyword_score(full_text(F.col("evidence")), keywords).alias("score"))
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import facts, problems, structure
+from . import facts, pipeline, problems, structure
 
-MODULES = [structure, facts, problems]
+MODULES = [structure, facts, pipeline, problems]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

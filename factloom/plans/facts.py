@@ -70,7 +70,7 @@ def top_contexts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def half_context(spark: SparkSession, d: str) -> DataFrame:
-    one = table(spark, d, "compact_contexts").where("context_id is not null").groupBy("context_id").agg(F.max_by("evidence", "loaded_at").alias("evidence"))
+    one = table(spark, d, "compact_contexts").where("context_id is not null").groupBy("context_id").agg(F.max_by("evidence", F.struct("loaded_at", F.xxhash64("evidence"))).alias("evidence"))
     half = grounding.half_text(F.col("evidence"))
     return one.select("context_id", F.length(half).alias("n_chars"), F.md5(half.cast("binary")).alias("digest"))
 
