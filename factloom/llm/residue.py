@@ -47,7 +47,7 @@ FORMS = {
     "exes": r"\bX{1,4}[.,]X{1,4}(?:\s?%)?",
 }
 #: Text in quotation marks is quoted, not left behind.
-_QUOTED = r"“[^”]{1,120}”|„[^“”]{1,120}[“”]|(?<![:{,\w] )(?<![{:,\w])\"[^\"\n:]{1,120}\"(?!\s*:)"
+_QUOTED = r"“[^”]{1,120}”|„[^“”]{1,120}[“”]|(?<![:{,] )(?<![{:,\w])\"[^\"\n:]{1,120}\"(?!\s*:)"
 #: Letters with the marks that follow them, Devanagari signs included.
 _LETTER = r"(?:[^\W\d_]|[\u0300-\u036f\u0900-\u0903\u093a-\u094f\u0951-\u0957\u0962\u0963])"
 _TOKEN = re.compile("|".join([f"(?P<quoted>{_QUOTED})", *(f"(?P<{n}>{p})" for n, p in FORMS.items()), r"(?P<number>\d[\d.,]*)", r"(?P<word>{_LETTER}+(?:['’]{_LETTER}+)?)".replace("{_LETTER}", _LETTER)]))
