@@ -77,7 +77,8 @@ def group_links(links: DataFrame) -> DataFrame:
         top = to.select(F.col("c").alias("p"), F.col("p").alias("q"))
         to = rounds.pop().join(top, "p", "left").select("c", F.coalesce("q", "p").alias("p"))
     to = written(to, "roots")
-    least = to.groupBy("p").agg(F.min("c").alias("group_id"))
+    # Written, so that the join below is of two plain shuffles, whose skewed partitions can be split.
+    least = written(to.groupBy("p").agg(F.min("c").alias("group_id")), "least")
     return to.join(least, "p").select(F.col("c").alias("node"), "group_id")
 
 

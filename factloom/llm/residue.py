@@ -59,7 +59,7 @@ _ENDS = (".", "!", "?", "।", "…", ":", ";")
 _STRUCK = re.compile(r"[asdfghjkl]{3,}|[zxcvbnm]{3,}|[bcdfghjklmnpqrstvwxz]{3,}|.*[bcdfghjklmnpqrstvwxz]{6}.*")
 
 # Records that hold these and little else are trusted to be errors or notices.
-ERROR_SEEDS = "404 not found|not found on this server|502 bad gateway|http error [0-9]{3}|internal error while|access denied.you lack|traceback \\(most recent|nullpointerexception|connection refused|request timed out|too many requests from|session has expired|verify that you are human|browser is not supported|(enable|allow|activate) javascript|javascript is turned off|please accept cookies|allow cookies and|ad blocker detected|requested url was rejected|error 403|seite nicht gefunden|erreur 403|veuillez activer|bitte aktivieren sie javascript|active javascript en|p.gina no disponible|temporarily offline for maintenance|please try later|जावास्क्रिप्ट चालू|पृष्ठ नहीं मिला|script support|scripts may be blocked|\"error\": |checking your browser|something broke on our side|file is damaged|right now|could not be opened|failed to load|any more|could not connect|needs scripting|cannot start without scripts|(permit|allow|activate) active content|switch on scripts|turn js on|keyerror|resource removed|lack permission|return to the index"
+ERROR_SEEDS = "404 not found|not found on this server|502 bad gateway|http error [0-9]{3}|internal error while|access denied.you lack|traceback \\(most recent|nullpointerexception|connection refused|request timed out|too many requests from|session has expired|verify that you are human|browser is not supported|(enable|allow|activate) javascript|javascript is turned off|please accept cookies|allow cookies and|ad blocker detected|requested url was rejected|error 403|seite nicht gefunden|erreur 403|veuillez activer|bitte aktivieren sie javascript|active javascript en|p.gina no disponible|temporarily offline for maintenance|please try later|जावास्क्रिप्ट चालू|पृष्ठ नहीं मिला|script support|scripts may be blocked|\"error\": |checking your browser|something broke on our side|file is damaged|right now|could not be opened|failed to load|any more|could not connect|needs scripting|cannot start without scripts|(permit|allow|activate) active content|switch on scripts|turn js on|keyerror|resource removed|lack permission|return to the index|can.t find the|moved or deleted|no longer (here|available)|page (is|was) (gone|removed)"
 # Records that begin a passage with these are trusted to be filler.
 FILLER_SEEDS = "(^|\\n)(lorem ipsum|foo bar|blah blah|bla bla|text goes here|your text here|texto de relleno|texte provisoire|hier steht ein beispieltext|this is a sample paragraph|dummy paragraph|click here to edit|add your summary in this|sample caption|यहाँ नमूना)"
 _SEEDS = {ERROR: re.compile(ERROR_SEEDS), FILLER: re.compile(FILLER_SEEDS)}
