@@ -138,7 +138,8 @@ def read_facts(facts: DataFrame, tables: DataFrame) -> DataFrame:
     read = written(read.select("fact_id", "entity", "attribute", "time", "scope", "source_file", "evidence_id", "amount", "u1", "s1", "u2", "s2", "word"), "facts")
     units = tables.select(F.explode("evidence_ids").alias("evidence_id"), F.struct("loaded_at", "unit").alias("v")).where("evidence_id is not null").groupBy("evidence_id").agg(F.max("v").alias("v"))
     w3 = words_of(plain(F.col("v.unit")))
-    units = units.select(F.col("evidence_id").alias("_key"), unit_in(w3).alias("u3"), scale_in(w3).alias("s3"))
+    # Written, so that the join is of two plain shuffles: a partition with a very common evidence id can be split.
+    units = written(units.select(F.col("evidence_id").alias("_key"), unit_in(w3).alias("u3"), scale_in(w3).alias("s3")), "units")
     keyed = read.withColumn("_key", F.when(F.coalesce("u1", "u2").isNotNull() & F.coalesce("s1", "s2").isNotNull(), None).otherwise(F.col("evidence_id"))).withColumn("_key", F.coalesce("_key", F.concat(F.lit("\0"), "fact_id")))
     full = keyed.join(units, "_key", "left").drop("_key")
     unit = F.coalesce("u1", "u2", "u3")
