@@ -204,3 +204,14 @@ def pack_contexts(members: DataFrame, block: list[str], budget: int = CONTEXT_TO
         return out
 
     return facts.join(mean, [*block, "group_id"]).groupBy(*block).applyInPandas(run, schema)
+
+
+def context_topics(packed: DataFrame, labels: DataFrame, block: list[str]) -> DataFrame:
+    """(block…, context_no, topic): the label of a context's only group, or those of its first three, as packed by pack_contexts().
+
+    labels: block…, group_id, topic_label, size. Groups count in the order of falling size and id.
+    """
+    g = packed.join(labels, [*block, "group_id"])
+    order = F.struct((-F.col("size")).alias("s"), "group_id", T.text_of("topic_label").alias("label"))
+    first = F.slice(F.sort_array(F.collect_list(order)), 1, 3)
+    return g.groupBy(*block, "context_no").agg(F.array_join(F.transform(first, lambda x: x["label"]), " | ").alias("topic"))

@@ -79,3 +79,12 @@ def save_analysis(tables: dict[str, DataFrame], folder: str, analysis_id: str) -
     """The tables of an analysis as Parquet under its id; a rerun replaces that analysis and no other."""
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder}/{name}/analysis_id={analysis_id}")
+
+
+def load_analysis(spark, folder: str, name: str, analysis_id: str) -> DataFrame:
+    """A table of an analysis; only its own files are read. An unknown id raises LookupError."""
+    path = f"{folder}/{name}/analysis_id={analysis_id}"
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs):
+        raise LookupError(analysis_id)
+    return spark.read.parquet(path)

@@ -87,8 +87,13 @@ def table_identity(caption: Column, text: Column, heading: Column) -> Column:
     return F.when(T.text_of(caption) != "", cap).when(first.startswith("table "), first).when(head != "", head).when(first != "", first).otherwise("unknown-table")
 
 
-def row_number_of(text: Column) -> Column:
-    """The number of a `row …=n` segment, else a billion: rows without one come in the order of their ids."""
+def row_number_of(text: Column, natural: bool = False) -> Column:
+    """The number of a `row …=n` segment, else a billion: rows without one come in the order of their ids.
+
+    natural reads the number of `row n` as extractors write it, so that rows come in the order of the page.
+    """
+    if natural:
+        return F.coalesce(F.regexp_extract(T.norm(text), r"(?:^|; ?)row (\d{1,9})(?: ?;|$)", 1).try_cast("int"), F.lit(NO_ROW_NUMBER))
     seg = F.filter(F.transform(F.split(T.norm(text), ";"), lambda s: T.strip(s)), lambda s: s.startswith("row ") & s.rlike(r"^[^=]*= ?[+-]?\d{1,9} ?$"))
     return F.coalesce(T.strip(F.regexp_replace(F.get(seg, F.lit(0)), "^[^=]*=", "")).try_cast("int"), F.lit(NO_ROW_NUMBER))
 
@@ -103,10 +108,10 @@ def _table_metadata(k: Column) -> Column:
     return n.startswith("column_") | n.isin(TABLE_METADATA)
 
 
-def reconstruct_rows(evidence: DataFrame) -> DataFrame:
+def reconstruct_rows(evidence: DataFrame, natural: bool = False) -> DataFrame:
     """Each table row with its table's identity, row number, label and the values left once label and structure are out."""
     units = [*UNIT_COLUMNS, "units"]
-    rows = table_rows(evidence).withColumn("identity", table_identity(F.col("table_caption"), F.col("text"), F.col("section_heading"))).withColumn("row_no", row_number_of(F.col("text")))
+    rows = table_rows(evidence).withColumn("identity", table_identity(F.col("table_caption"), F.col("text"), F.col("section_heading"))).withColumn("row_no", row_number_of(F.col("text"), natural))
     label = F.coalesce(F.nullif("row_label", F.lit("")), _row_label(F.col("pairs"), value_is_numeric, TABLE_PERIODS, units, _table_metadata))
     rows = rows.withColumn("label", label)
     kept = F.filter("pairs", lambda p: ~F.coalesce(p["v"] == F.col("label"), F.lit(False)) & ~_table_metadata(p["k"]))
@@ -117,13 +122,13 @@ def reconstruct_rows(evidence: DataFrame) -> DataFrame:
     return rows.select("evidence_id", "source_file", "page_number", "identity", "row_no", "label", values.alias("values"), keys.alias("keys"), F.coalesce(F.nullif("unit_hint", F.lit("")), unit_key).alias("unit"), F.nullif("table_caption", F.lit("")).alias("caption"), numeric.alias("n_numeric"))
 
 
-def reconstruct_tables(evidence: DataFrame) -> DataFrame:
+def reconstruct_tables(evidence: DataFrame, natural: bool = False) -> DataFrame:
     """One row a table: rows of a file and page with one identity, in the order of row number and id.
 
     A table id numbers tables by file, page and identity. deterministic and confidence say whether rows can be read
-    without a model. Rows of one table are gathered to an array; a table is bounded by its page.
+    without a model. Rows of one table are gathered to an array; a table is bounded by its page. natural: see row_number_of().
     """
-    r = reconstruct_rows(evidence)
+    r = reconstruct_rows(evidence, natural)
     row = F.struct("row_no", "evidence_id", "label", "values", "keys", "unit", "caption", "n_numeric")
     t = r.groupBy("source_file", "page_number", "identity").agg(F.sort_array(F.collect_list(row)).alias("r"))
     headers = F.array_distinct(F.flatten(F.transform("r", lambda x: x["keys"])))

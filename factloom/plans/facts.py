@@ -61,6 +61,20 @@ def pack_contexts(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_contexts(m.join(groups, ["page", "evidence_id"]).withColumn("cost", packing.context_cost()), ["page"])
 
 
+def context_topics(spark: SparkSession, d: str) -> DataFrame:
+    m = written(_clustered(spark, d), "members")
+    groups = written(cluster.cluster(m, "page"), "groups")
+    e = I.evidence(spark, d, "source_file", "page_number", "text", "section_heading", "table_caption").join(groups, "evidence_id")
+    labels = scoring.topic_labels(e, ["page", "group_id"]).join(groups.groupBy("page", "group_id").agg(F.max("group_size").alias("size")), ["page", "group_id"])
+    packed = packing.pack_contexts(m.join(groups, ["page", "evidence_id"]).withColumn("cost", packing.context_cost()), ["page"])
+    return packing.context_topics(packed, labels, ["page"])
+
+
+def unit_vectors(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings").where("embedding is not null")
+    return v.select("vec_id", F.posexplode(embed.unit_vector(F.col("embedding"))).alias("d", "x")).select("vec_id", "d", F.round("x", 5).alias("x"))
+
+
 def keyword_score(spark: SparkSession, d: str) -> DataFrame:
     return report.context_scores(table(spark, d, "compact_contexts"), KEYWORDS)
 
@@ -210,7 +224,7 @@ def centroids(spark: SparkSession, d: str) -> DataFrame:
     return mean.groupBy("label").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("_n"), F.collect_list(F.struct("d", "x")).alias("v")).select("label", F.inline("v"), "_n").select("label", "d", F.round(F.col("x") / F.greatest("_n", F.lit(1e-12)), 5).alias("x"))
 
 
-QUERIES = {f.__name__: f for f in (structured_chunks, clean_filter_chunk, evidence_chunks, rank_evidence, round_robin_budget, cluster_evidence, pack_contexts, keyword_score, top_contexts, half_context, distinct_keywords, serialize_context, serialize_elements, ground_all, ground_table, ground_prose, norm_text, extract_time, clean_attribute, numeric_candidates, canonical_facts, value_number, unit_type, attribute_tokens, document_of, entity_compat, attribute_compat, embedding_candidates, hash_embeddings, embedding_texts, identity_candidates, classify_relationships, relationship_stats, document_stats, ask_top8, fact_json, centroids)}
+QUERIES = {f.__name__: f for f in (structured_chunks, clean_filter_chunk, evidence_chunks, rank_evidence, round_robin_budget, cluster_evidence, pack_contexts, context_topics, unit_vectors, keyword_score, top_contexts, half_context, distinct_keywords, serialize_context, serialize_elements, ground_all, ground_table, ground_prose, norm_text, extract_time, clean_attribute, numeric_candidates, canonical_facts, value_number, unit_type, attribute_tokens, document_of, entity_compat, attribute_compat, embedding_candidates, hash_embeddings, embedding_texts, identity_candidates, classify_relationships, relationship_stats, document_stats, ask_top8, fact_json, centroids)}
 
 
 def _greedy(rows: str, limit: int) -> str:
@@ -329,6 +343,8 @@ SQL = {
     "rank_evidence": f"WITH {_ranked('concat_ws(' + S.q(':') + ', coalesce(source_file, ' + S.q('') + '), page_number)')} SELECT g AS page, evidence_id, score, rank, cost FROM ranked",
     "round_robin_budget": f"""WITH {_ranked("split_part(coalesce(source_file, ''), '/', 1)")}, turns AS (SELECT *, row_number() OVER (PARTITION BY g, coalesce(source_file, '') ORDER BY rank) AS round, min(rank) OVER (PARTITION BY g, coalesce(source_file, '')) AS seen FROM ranked WHERE rank <= 30),
         summed AS (SELECT *, row_number() OVER w AS position, sum(cost) OVER w AS so_far FROM turns WINDOW w AS (PARTITION BY g ORDER BY round, seen)) SELECT g AS issuer, evidence_id, round, position, so_far FROM summed WHERE position = 1 OR so_far <= 2500""",
+    "unit_vectors": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL)
+        SELECT vec_id, generate_subscripts(e, 1) - 1 AS d, round(unnest(e) / greatest(sqrt(list_dot_product(e, e)), 1e-12), 5) AS x FROM v""",
     "keyword_score": f"WITH {_SCORES} SELECT * FROM scores",
     "top_contexts": f"WITH {_SCORES} SELECT document, context_id, score, row_number() OVER (PARTITION BY document ORDER BY score DESC, context_id) AS rank FROM scores QUALIFY rank <= 2",
     "half_context": f"WITH {_CONTEXTS} SELECT context_id, length(h) AS n_chars, md5(h) AS digest FROM (SELECT context_id, CASE WHEN t = '' THEN '' ELSE left(t, greatest(length(t) // 2, 1)) END AS h FROM (SELECT context_id, coalesce({_FULL}, '') AS t FROM contexts))",

@@ -157,3 +157,18 @@ def test_stream(spark, tmp_path):
     m = stream.match_batches(stream.read(spark, f"{tmp_path}/in", df.schema), f"{tmp_path}/store", f"{tmp_path}/c2", lambda new, old: new.select("evidence_id").unionByName(old.select("evidence_id")).distinct(), f"{tmp_path}/found")
     m.awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/found").where("evidence_id is not null").count() == 2
+
+
+def test_analysis_is_kept_by_id(spark, tmp_path):
+    df = spark.createDataFrame([(1,)], "x int")
+    report.save_analysis({"facts": df}, str(tmp_path), "a1")
+    report.save_analysis({"facts": df}, str(tmp_path), "a1")
+    assert report.load_analysis(spark, str(tmp_path), "facts", "a1").count() == 1
+    with pytest.raises(LookupError):
+        report.load_analysis(spark, str(tmp_path), "facts", "zz")
+
+
+def test_context_topics(spark):
+    packed = spark.createDataFrame([("p", g, 1) for g in "abcd"] + [("p", "e", 2)], "page string, group_id string, context_no int")
+    labels = spark.createDataFrame([("p", "a", "A", 1), ("p", "b", "B", 3), ("p", "c", "C", 2), ("p", "d", None, 2), ("p", "e", "E", 1)], "page string, group_id string, topic_label string, size int")
+    assert {r.context_no: r.topic for r in packing.context_topics(packed, labels, ["page"]).collect()} == {1: "B | C | ", 2: "E"}

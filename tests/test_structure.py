@@ -110,3 +110,9 @@ def test_numbered(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(7)
     assert [(r.k, r.n) for r in packing.numbered(df, ["k"], "n", 0).orderBy("k").collect()] == [(i, i) for i in range(1000)]
     assert packing.numbered(df.limit(0), ["k"], "n").count() == 0
+
+
+def test_natural_row_order(spark):
+    cases = {"Table 1; row 12; a=b": (10**9, 12), "Table 1; row no=7; a=b": (7, 10**9), "x": (10**9, 10**9), None: (10**9, 10**9)}
+    df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", tables.row_number_of(F.col("t")).alias("a"), tables.row_number_of(F.col("t"), True).alias("b"))
+    assert {r.t: (r.a, r.b) for r in df.collect()} == cases
