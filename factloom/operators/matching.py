@@ -77,10 +77,8 @@ def compatible_entities(entities: DataFrame) -> DataFrame:
     grams = filled.select(F.col("e").alias("whole"), F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("e")), lambda i: F.array(*[F.substring(F.col("e"), i, F.lit(n)) for n in (1, 2, 3)]))))).alias("g"))
     inner = filled.select(F.col("e").alias("part"), F.substring("e", 1, 3).alias("g")).join(grams, "g").where(F.contains("whole", F.col("part"))).select("part", "whole").distinct()
     ways = inner.select(F.col("part").alias("e"), F.col("whole").alias("e2")).unionByName(inner.select(F.col("whole").alias("e"), F.col("part").alias("e2")))
-    blank = e.where("e = ''")
-    empty = blank.select("e").limit(1)
-    # One row at most on one side: the empty entity.
-    with_all = e.join(F.broadcast(empty.select(F.col("e").alias("e2"))), F.lit(True)).select("e", "e2")
+    # With the empty entity, if there is one.
+    with_all = e.select("e", F.lit("").alias("e2")).join(e.select(F.col("e").alias("e2")), "e2", "left_semi").select("e", "e2")
     return ways.unionByName(with_all).unionByName(with_all.select(F.col("e2").alias("e"), F.col("e").alias("e2"))).distinct()
 
 

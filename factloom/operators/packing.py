@@ -95,7 +95,7 @@ def structured_chunks(elements: DataFrame, target: int = STRUCTURED_TOKENS) -> D
     """
     e = elements.withColumn("_text", serialize_element())
     e = e.withColumn("cost", tokens_down(F.col("_text")))
-    fold = greedy_chunks(e.select("source_file", "page_number", "top", "element_id", "cost"), ["source_file"], ["page_number", "top", "element_id"], target)
+    fold = greedy_chunks(e.select("source_file", F.coalesce("page_number", F.lit(0)).alias("page_number"), "top", "element_id", "cost"), ["source_file"], ["page_number", "top", "element_id"], target)
     place = fold.select("element_id", "chunk_no", F.col("cost").alias("_cost"))
     is_table = (F.col("element_type") == "TABLE") & F.col("table").isNotNull()
     item = F.struct(

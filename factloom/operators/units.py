@@ -183,10 +183,10 @@ def estimate_words(valued: DataFrame, rates: DataFrame, min_links: int = MIN_LIN
     fit = pairs.groupBy("word", "base_unit").agg(F.count(F.lit(1)).alias("links"), F.percentile_approx("ratio", 0.5).alias("scale"), F.percentile_approx("ratio", 0.25).alias("_low"), F.percentile_approx("ratio", 0.75).alias("_high"), F.percentile_approx("y", 0.5).alias("_y"), F.percentile_approx("x", 0.5).alias("_x"))
     fit = fit.where((F.col("links") >= min_links) & (F.col("_high") - F.col("_low") <= MAX_SPREAD * F.abs("scale"))).withColumn("offset", F.col("_y") - F.col("scale") * F.col("_x"))
     fit = fit.where(F.abs("offset") <= MAX_SPREAD * F.abs("_y"))
-    units, scales = _rates(rates)
-    one = scales.select("scale").unionAll(scales.sparkSession.range(1).select(F.lit(1).cast("decimal(12,0)").alias("scale")))
-    # Some tens of units by six scales: the known conversions.
-    conversions = F.broadcast(units.join(F.broadcast(one), F.lit(True)).select("base_unit", (F.col("factor").cast("double") * F.col("scale").cast("double")).alias("known")))
+    units, _ = _rates(rates)
+    # unit_rates is a fixed table: five scales besides the scale of one.
+    scales = [1.0, *sorted(r.factor for r in rates.where("kind = 'scale'").select("factor").collect())]
+    conversions = F.broadcast(units.select("base_unit", "factor", F.explode(F.array(*[F.lit(s) for s in scales])).alias("s")).select("base_unit", (F.col("factor").cast("double") * F.col("s")).alias("known")))
     near = fit.join(conversions, "base_unit").withColumn("off", F.abs(F.col("scale") / F.col("known") - 1)).where(F.col("off") <= SNAP)
     return near.groupBy("word").agg(F.min_by(F.struct("base_unit", "links", "scale", "offset", F.col("known").alias("snapped")), F.struct(F.col("off"), -F.col("links"), F.col("base_unit"))).alias("b")).select("word", "b.*")
 
