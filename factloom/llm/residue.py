@@ -48,9 +48,10 @@ FORMS = {
 }
 #: Text in quotation marks is quoted, not left behind.
 _QUOTED = r"“[^”]{1,120}”|„[^“”]{1,120}[“”]|(?<![:{,] )(?<![{:,\w])\"[^\"\n:]{1,120}\"(?!\s*:)"
-#: Letters with the marks that follow them, Devanagari signs included.
-_LETTER = r"(?:[^\W\d_]|[\u0300-\u036f\u0900-\u0903\u093a-\u094f\u0951-\u0957\u0962\u0963])"
-_TOKEN = re.compile("|".join([f"(?P<quoted>{_QUOTED})", *(f"(?P<{n}>{p})" for n, p in FORMS.items()), r"(?P<number>\d[\d.,]*)", r"(?P<word>{_LETTER}+(?:['’]{_LETTER}+)?)".replace("{_LETTER}", _LETTER)]))
+#: A word: a letter, and letters, digits and the marks that follow them, Devanagari signs included.
+_INNER = r"[\w\u0300-\u036f\u0900-\u0903\u093a-\u094f\u0951-\u0957\u0962\u0963]"
+_WORD = rf"[^\W\d_]{_INNER}*(?:['’]{_INNER}+)?"
+_TOKEN = re.compile("|".join([f"(?P<quoted>{_QUOTED})", *(f"(?P<{n}>{p})" for n, p in FORMS.items()), r"(?P<number>\d[\d.,]*)", f"(?P<word>{_WORD})"]))
 _PASSAGES = re.compile(r"(?<=[.!?।])[\"”)]*\s+|\n+")
 #: Lines of one word, broken off from the next line.
 _BROKEN = re.compile(r"(?m)^(\S{1,40})\r?\n(?=\S)")
@@ -67,15 +68,17 @@ TRUSTED_CHARS = 1200
 
 
 #: What a passage must hold for any form or quotation to stand in it.
-_SIGNS = re.compile(r"[{}<>\[\]@«#_“„\"]|%[A-Za-z]|\((?:insert|enter|type|add|your|please|to be|name of)|FIXME|TODO|TBD|TBC|XX|X[.,]X", re.I)
-_PLAIN = re.compile(rf"\d[\d.,]*|{_LETTER}+(?:['’]{_LETTER}+)?")
+_SIGNS = re.compile(r"[{}<>\[\]@«#_“„\"]|%(?=[A-Za-z])|\((?=[ietaypn])")
+_NOTES = ("FIXME", "TODO", "TB", "XX", "X.", "X,")
+_PLAIN = re.compile(rf"\d[\d.,]*|{_WORD}")
+_DIGITS = re.compile(r"\d+")
 
 
 class _Words(dict):
     """The token of each word met, kept up to a bound."""
 
     def __missing__(self, word: str) -> str:
-        token = "0" if word[0].isdigit() else "⟦struck⟧" if _STRUCK.fullmatch(word) else word
+        token = "0" if word[0].isdigit() else "⟦struck⟧" if _STRUCK.fullmatch(word) else _DIGITS.sub("0", word)
         if len(self) < 500_000:
             self[word] = token
         return token
@@ -86,8 +89,8 @@ _WORDS = _Words()
 
 def tokens_of(passage: str) -> tuple[list[str], list[str]]:
     """Words in lower case with forms and quotations as single tokens, and the forms alone. Digits are one token."""
-    if not _SIGNS.search(passage):
-        return [_WORDS[w] for w in _PLAIN.findall(passage.lower())], []
+    if not _SIGNS.search(passage) and not any(n in passage for n in _NOTES):
+        return list(map(_WORDS.__getitem__, _PLAIN.findall(passage.lower()))), []
     tokens, forms = [], []
     for m in _TOKEN.finditer(passage):
         kind = m.lastgroup
