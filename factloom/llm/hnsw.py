@@ -88,18 +88,18 @@ class Graph:
 
     def _choose(self, c: np.ndarray, s: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Neighbours with spread: a candidate nearer to one already chosen than to the node comes after the others."""
-        order = np.argsort(-s, axis=1)[:, : 2 * width]
+        order = np.argsort(-s, axis=1)[:, : width + width // 2]
         c, s = np.take_along_axis(c, order, 1), np.take_along_axis(s, order, 1)
         n, k = c.shape
         v = self.x[np.maximum(c, 0)]
         mutual = np.matmul(v, v.transpose(0, 2, 1))
         real = s > _NONE
         kept = np.zeros((n, k), bool)
-        for j in range(k):
-            nearest = np.where(kept, mutual[:, j, :], _NONE).max(axis=1)
-            kept[:, j] = real[:, j] & (nearest < s[:, j])
         # Half of the places go to the nearest whatever their spread: they are what is looked for.
         kept[:, : width // 2] = real[:, : width // 2]
+        for j in range(width // 2, k):
+            nearest = np.where(kept[:, :j], mutual[:, j, :j], _NONE).max(axis=1)
+            kept[:, j] = real[:, j] & (nearest < s[:, j])
         rank = np.where(kept, 0, np.where(real, 1, 2)) * k + np.arange(k)
         pick = np.argsort(rank, axis=1)[:, :width]
         c, s = np.take_along_axis(c, pick, 1), np.take_along_axis(s, pick, 1)

@@ -15,8 +15,9 @@ from .hnsw import Graph
 
 #: Neighbours, least cosine, numbers in a vector.
 K, MIN_COSINE, DIM = 10, 0.75, 128
-#: Vectors a shard should hold, and shards each vector is indexed in: it is found, and searches, in each of them.
-SHARD, SPILL = 8192, 2
+#: Vectors a shard should hold. A vector is indexed in its nearest shard and in a second whose centre is less similar
+#: by MARGIN at most; it is found, and searches, in both.
+SHARD, MARGIN = 8192, 0.08
 #: The centroids that shards are made by are fitted on a sample of so many vectors a shard, in all at most SAMPLE.
 PER_SHARD, SAMPLE = 64, 40_000
 EF_SEARCH = 16
@@ -82,7 +83,7 @@ def _vector_key(v: Column) -> list[Column]:
     return [F.xxhash64(v).alias("_h1"), F.xxhash64(F.lit("second"), v).alias("_h2")]
 
 
-def nearest(units: DataFrame, key: str = "evidence_id", vector: str = "embedding", k: int = K, min_cosine: float = -1.0, dim: int = DIM, shard: int = SHARD, spill: int = SPILL, ef: int = EF_SEARCH) -> DataFrame:
+def nearest(units: DataFrame, key: str = "evidence_id", vector: str = "embedding", k: int = K, min_cosine: float = -1.0, dim: int = DIM, shard: int = SHARD, margin: float = MARGIN, ef: int = EF_SEARCH) -> DataFrame:
     """(a, b, cosine): b is among the k most similar of a, itself not counted, and their cosine is min_cosine or more.
 
     Only vectors of dim finite numbers that are not all zero take part. A key's repeated rows count once, with the last
@@ -113,10 +114,15 @@ def nearest(units: DataFrame, key: str = "evidence_id", vector: str = "embedding
             right, v = unit_rows(batch.column(1), dim)
             keys = batch.column(0).filter(pa.array(right))
             s = v @ c.T
-            m = min(spill, len(c))
-            best = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < len(c) else np.broadcast_to(np.arange(len(c)), s.shape)
-            for j in range(m):
-                yield pa.RecordBatch.from_arrays([pa.array(best[:, j], pa.int32()), keys, pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), len(v), [None, pa.py_buffer(np.ascontiguousarray(v))]).cast(pa.binary())], ["shard", "key", "v"])
+            rows = np.arange(len(v))
+            own = s.argmax(axis=1)
+            best = s[rows, own]
+            s[rows, own] = -4
+            second = s.argmax(axis=1)
+            near = np.flatnonzero(best - s[rows, second] <= margin)
+            for at, to in ((rows, own), (near, second[near])):
+                data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), len(at), [None, pa.py_buffer(np.ascontiguousarray(v[at]))])
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), keys.take(pa.array(at)), data.cast(pa.binary())], ["shard", "key", "v"])
 
     kind = base.schema["key"].dataType.simpleString()
 
