@@ -19,6 +19,8 @@ UNIT_COLUMNS = ["₹", "rs", "inr", "usd", "million", "crore", "cr", "lakhs"]
 SERIAL_COLUMNS = ["s. no.", "s.no.", "no.", "serial", "sr. no."]
 FACT_METADATA = ["table", "row", "column", "s. no.", "s.no.", "serial", "no."]
 TABLE_METADATA = ["table", "row", "s. no.", "s.no.", "serial"]
+# The reasons a route is given for.
+FEW_PAIRS, NO_VALUE_COLUMNS, REGULAR_ROW, STRUCTURAL, AMBIGUOUS = "Insufficient key-value structure", "No reliable value-bearing columns detected", "Regular key-value table row", "Mostly structural/header information", "Table structure is ambiguous"
 NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 NO_ROW_NUMBER = 10**9
 #: Tokens a batch of table rows may have.
@@ -77,7 +79,7 @@ def route_rows(evidence: DataFrame) -> DataFrame:
         "evidence_id",
         F.when(~few & ~none & plain, "DETERMINISTIC").otherwise("LLM").alias("decision"),
         F.when(few, 0.95).when(none, 0.90).when(plain, F.least(F.lit(0.99), F.round(0.75 + 0.05 * F.col("nv"), 4))).when(noise, 0.85).otherwise(0.70).alias("confidence"),
-        F.when(few, "Insufficient key-value structure").when(none, "No reliable value-bearing columns detected").when(plain, "Regular key-value table row").when(noise, "Mostly structural/header information").otherwise("Table structure is ambiguous").alias("reason"),
+        F.when(few, FEW_PAIRS).when(none, NO_VALUE_COLUMNS).when(plain, REGULAR_ROW).when(noise, STRUCTURAL).otherwise(AMBIGUOUS).alias("reason"),
     )
 
 

@@ -16,7 +16,7 @@ CASTS = {
     "INT": {
         "split_lines": ["line_no"], "clean_cell_text": ["row_index", "column_index"], "clean_rows": ["row_index"], "split_headers": ["n_headers", "n_rows"], "table_row_ids": ["row_index"], "merge_prose_blocks": ["n_lines"], "join_lines": ["n_chars"],
         "parse_pairs": ["ord"], "reconstruct_tables": ["n_rows"], "structured_chunks": ["estimated_tokens"], "rank_evidence": ["rank"], "unit_vectors": ["d"], "keyword_score": ["score"], "top_contexts": ["score", "rank"], "half_context": ["n_chars"],
-        "serialize_context": ["n_chars"], "centroids": ["d"],
+        "serialize_context": ["n_chars"], "centroids": ["d"], "line_bbox": ["page_number", "line_no"], "split_tables": ["n_rows"], "round_robin_budget": ["round", "position"],
     },
     "BIGINT": {"split_tables": ["n_tokens"], "structured_chunks": ["packed_tokens"], "evidence_chunks": ["estimated_tokens"], "round_robin_budget": ["so_far"]},
     "DOUBLE": {"line_bbox": ["x0", "y0", "x1", "y1"]},

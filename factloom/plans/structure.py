@@ -291,7 +291,7 @@ SQL = {
     "route_rows": f"""WITH {_PAIRS}, c AS (SELECT evidence_id, len(pairs) AS n, len(list_filter(pairs, lambda p: {_VALUE})) AS nv, len(list_filter(pairs, lambda p: lower(p.k) IN ('s. no.', 's.no.', 'no.', 'serial', 'sr. no.') AND NOT ({_ALL["route_period"]} OR {_ALL["percent"]} OR {_ALL["units"]}))) AS ns FROM paired)
         SELECT evidence_id, CASE WHEN n >= 2 AND nv >= 2 AND nv / n >= 0.5 THEN 'DETERMINISTIC' ELSE 'LLM' END AS decision,
             CASE WHEN n < 2 THEN 0.95 WHEN nv < 1 THEN 0.90 WHEN nv >= 2 AND nv / n >= 0.5 THEN least(0.99, round(0.75 + 0.05 * nv, 4)) WHEN ns > n // 2 THEN 0.85 ELSE 0.70 END::DOUBLE AS confidence,
-            CASE WHEN n < 2 THEN 'Insufficient key-value structure' WHEN nv < 1 THEN 'No reliable value-bearing columns detected' WHEN nv >= 2 AND nv / n >= 0.5 THEN 'Regular key-value table row' WHEN ns > n // 2 THEN 'Mostly structural/header information' ELSE 'Table structure is ambiguous' END AS reason FROM c""",
+            CASE WHEN n < 2 THEN {S.q(tables.FEW_PAIRS)} WHEN nv < 1 THEN {S.q(tables.NO_VALUE_COLUMNS)} WHEN nv >= 2 AND nv / n >= 0.5 THEN {S.q(tables.REGULAR_ROW)} WHEN ns > n // 2 THEN {S.q(tables.STRUCTURAL)} ELSE {S.q(tables.AMBIGUOUS)} END AS reason FROM c""",
     "reconstruct_tables": f"WITH {_REBUILT} SELECT source_file, page_number, caption, unit, table_id, n_rows, array_to_string(row_ids, '¦') AS row_ids, array_to_string(vals, '¦') AS row_values FROM rebuilt",
     "table_headers": f"WITH {_REBUILT} SELECT source_file, page_number, identity, array_to_string(headers, '¦') AS headers FROM rebuilt",
     "assess_structure": f"WITH {_REBUILT} SELECT source_file, page_number, identity, deterministic, round(confidence::DOUBLE, 6) AS confidence FROM assessed",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 #: How late a repeat or a late row may come.
 LATENESS = "7 days"
@@ -36,10 +36,10 @@ def match_batches(facts: DataFrame, store: str, checkpoint: str, match: Callable
         spark = batch.sparkSession
         batch.persist()
         try:
-            try:
-                old = spark.read.schema(batch.schema).parquet(f"{store}/batch=*").where(F.lit(True)) if n else batch.limit(0)
-            except Exception:  # noqa: BLE001
-                old = batch.limit(0)
+            # Earlier batches only: one that is run again may have stored its facts before it failed.
+            kept = spark._jvm.org.apache.hadoop.fs.Path(store)
+            there = kept.getFileSystem(spark._jsc.hadoopConfiguration()).exists(kept)
+            old = spark.read.schema(StructType([*batch.schema.fields, StructField("batch", IntegerType())])).parquet(store).where(F.col("batch") < n).drop("batch") if there else batch.limit(0)
             match(batch, old).write.mode("overwrite").parquet(f"{found}/batch={n}")
             batch.write.mode("overwrite").parquet(f"{store}/batch={n}")
         finally:

@@ -157,6 +157,10 @@ def test_stream(spark, tmp_path):
     m = stream.match_batches(stream.read(spark, f"{tmp_path}/in", df.schema), f"{tmp_path}/store", f"{tmp_path}/c2", lambda new, old: new.select("evidence_id").unionByName(old.select("evidence_id")).distinct(), f"{tmp_path}/found")
     m.awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/found").where("evidence_id is not null").count() == 2
+    spark.createDataFrame([("c", "PROSE", "2024-01-03 10:00:00")], "evidence_id string, evidence_type string, t string").selectExpr("evidence_id", "evidence_type", "cast(t as timestamp) as loaded_at").write.mode("append").parquet(f"{tmp_path}/in")
+    m = stream.match_batches(stream.read(spark, f"{tmp_path}/in", df.schema), f"{tmp_path}/store", f"{tmp_path}/c2", lambda new, old: new.select("evidence_id").unionByName(old.select("evidence_id")).distinct(), f"{tmp_path}/found")
+    m.awaitTermination()
+    assert sorted(r.evidence_id for r in spark.read.parquet(f"{tmp_path}/found/batch=1").where("evidence_id is not null").collect()) == ["a", "b", "c"]
 
 
 def test_analysis_is_kept_by_id(spark, tmp_path):
