@@ -5,6 +5,8 @@ Each is a Column expression that runs inside the JVM. A null text counts as an e
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +39,14 @@ def text_of(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once a row however often use names it.
+
+    Within a lambda of an array function a plain column would be worked out again for each element.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def collapse(c: Column) -> Column:
     """Runs of white space as one space, none at the ends; null as empty."""
     return F.trim(F.regexp_replace(text_of(c), f"[{WS}]+", " "))

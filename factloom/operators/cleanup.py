@@ -31,11 +31,11 @@ def should_drop() -> Column:
 def join_lines(lines: Column) -> Column:
     """Lines as one text: no space after a hyphen or before closing punctuation."""
 
-    def glued(x: Column, i: Column) -> Column:
-        tight = F.get(lines, i - 1).endswith("-") | x.rlike("^[.,;:)%]")
-        return F.when(i == 0, x).when(tight, x).otherwise(F.concat(F.lit(" "), x))
+    def glue(all_lines: Column) -> Column:
+        tight = lambda x, i: F.get(all_lines, i - 1).endswith("-") | x.rlike("^[.,;:)%]")
+        return F.array_join(F.transform(all_lines, lambda x, i: F.when((i == 0) | tight(x, i), x).otherwise(F.concat(F.lit(" "), x))), "")
 
-    return F.array_join(F.transform(lines, glued), "")
+    return T.let(lines, glue)
 
 
 def merge_blocks(elements: DataFrame) -> DataFrame:
