@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..session import latest
 
 #: Limit of a piece and what neighbouring pieces share, in tokens, and the characters of a token.
@@ -29,10 +30,9 @@ def boundary_pattern(limit: int) -> str:
     return "(?s)" + "|".join([f".{{1,{limit}}}\\z", *(up_to(e, w) for e, w in ends if limit > 2 * w), f".{{{max(limit - 8, 1)},{limit}}}(?!\\p{{M}})", f".{{1,{limit}}}"])
 
 
-def joined_text(evidence: Column, separator: str = "\n\n") -> Column:
-    """The texts of the evidence in their order, null and empty ones left out."""
-    texts = F.filter(F.transform(evidence, lambda e: e["text"]), lambda t: t.isNotNull() & (t != ""))
-    return F.array_join(texts, separator)
+def texts_of(evidence: Column) -> Column:
+    """The texts of the evidence in their order, null and empty ones left out; null evidence has none."""
+    return F.coalesce(F.filter(F.transform(evidence, lambda e: e["text"]), lambda t: t.isNotNull() & (t != "")), F.array().cast("array<string>"))
 
 
 def cut(marked: Column, max_chars: int, overlap: int, keep_marks: Column) -> Column:
@@ -41,21 +41,28 @@ def cut(marked: Column, max_chars: int, overlap: int, keep_marks: Column) -> Col
     start counts from 0 and includes the overlap, the last characters of the piece before. The pieces without their
     overlaps, one after the other, are the text, with a line feed for each mark unless keep_marks.
     """
-    pattern = boundary_pattern(max_chars - overlap)
-    # Characters beyond the basic plane take two places in a Java string; the pattern runs on a copy without them.
-    wide = marked.rlike(_WIDE)
-    shadow = F.when(wide, F.regexp_replace(marked, _WIDE, "¤")).otherwise(marked)
-    segments = F.regexp_extract_all(shadow, F.lit(pattern), F.lit(0))
-    sizes = F.transform(segments, lambda s: F.length(s))
+    pattern = F.lit(boundary_pattern(max_chars - overlap))
+
+    def pieces(wide: Column, segments: Column, sizes: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            before = F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, x: a + x)
+
+            def shaped(p: Column) -> Column:
+                back, start = p["back"], p["before"] - p["back"]
+                near = F.concat(F.when(back == 0, F.lit("")).otherwise(F.substring(F.get(segments, i - 1), -back, back)), s)
+                text = F.when(wide, F.substring(marked, start + 1, back + F.length(s))).otherwise(near)
+                return F.struct(start.alias("start"), back.alias("overlap"), F.when(keep_marks, text).otherwise(F.replace(text, F.lit(_MARK), F.lit("\n"))).alias("text"))
+
+            return T.let(before, lambda b: T.let(F.struct(b.alias("before"), F.when(i == 0, F.lit(0)).otherwise(F.least(F.lit(overlap), b)).alias("back")), shaped))
 
-    def piece(s: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, x: a + x)
-        back = F.when(i == 0, F.lit(0)).otherwise(F.least(F.lit(overlap), before))
-        near = F.concat(F.when(back == 0, F.lit("")).otherwise(F.substring(F.get(segments, i - 1), -back, back)), s)
-        text = F.when(wide, F.substring(marked, before - back + 1, back + F.length(s))).otherwise(near)
-        return F.struct((before - back).alias("start"), back.alias("overlap"), F.when(keep_marks, text).otherwise(F.replace(text, F.lit(_MARK), F.lit("\n"))).alias("text"))
+        return F.transform(segments, piece)
 
-    return F.transform(segments, piece)
+    # Characters beyond the basic plane take two places in a Java string; the pattern runs on a copy without them.
+    def found(wide: Column) -> Column:
+        shadow = F.when(wide, F.regexp_replace(marked, _WIDE, "¤")).otherwise(marked)
+        return T.let(F.regexp_extract_all(shadow, pattern, F.lit(0)), lambda segments: T.let(F.transform(segments, lambda s: F.length(s)), lambda sizes: pieces(wide, segments, sizes)))
+
+    return T.let(marked.rlike(_WIDE), found)
 
 
 def pieces_of(contexts: DataFrame, max_tokens: int = MAX_TOKENS, overlap_tokens: int = OVERLAP_TOKENS) -> DataFrame:
@@ -66,14 +73,17 @@ def pieces_of(contexts: DataFrame, max_tokens: int = MAX_TOKENS, overlap_tokens:
     """
     if not 0 <= 2 * overlap_tokens < max_tokens:
         raise ValueError("the overlap must be less than half the limit")
-    # Where a text holds the mark itself, items are told from paragraphs no more, and nothing else changes.
-    plain = joined_text(F.col("evidence"))
-    texts = contexts.where("context_id is not null").select("context_id", *[c for c in contexts.columns if c == "loaded_at"], plain.alias("_plain"), joined_text(F.col("evidence"), _MARK * 2).alias("_marked"))
-    texts = texts.select("*", F.floor(F.length("_plain") / CHARS).cast("int").alias("n_tokens"), F.when(F.contains("_plain", F.lit(_MARK)), F.col("_plain")).otherwise(F.col("_marked")).alias("_text"))
-    whole = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("overlap"), F.col("_plain").alias("text")))
-    none = F.slice(whole, 1, 0)
-    pieces = F.when(F.coalesce("_plain", F.lit("")) == "", none).when(F.col("n_tokens") <= max_tokens, whole).otherwise(cut(F.col("_text"), max_tokens * CHARS, overlap_tokens * CHARS, F.contains("_plain", F.lit(_MARK))))
-    return texts.select(*[c for c in texts.columns if c in ("context_id", "loaded_at")], F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), pieces.alias("pieces"))
+
+    def split(texts: Column, plain: Column, n_tokens: Column) -> Column:
+        whole = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("overlap"), plain.alias("text")))
+        # Where a text holds the mark itself, items are told from paragraphs no more, and nothing else changes.
+        marked = lambda keep: T.let(F.when(keep, plain).otherwise(F.array_join(texts, _MARK * 2)), lambda m: cut(m, max_tokens * CHARS, overlap_tokens * CHARS, keep))
+        large = T.let(F.contains(plain, F.lit(_MARK)), marked)
+        return F.struct(n_tokens.alias("n_tokens"), F.when(plain == "", F.slice(whole, 1, 0)).when(n_tokens <= max_tokens, whole).otherwise(large).alias("pieces"))
+
+    row = T.let(texts_of(F.col("evidence")), lambda t: T.let(F.array_join(t, "\n\n"), lambda p: T.let(F.floor(F.length(p) / CHARS).cast("int"), lambda n: split(t, p, n))))
+    kept = [c for c in contexts.columns if c in ("context_id", "loaded_at")]
+    return contexts.where("context_id is not null").select(*kept, F.explode(F.array(row)).alias("_r")).select(*kept, "_r.n_tokens", "_r.pieces")
 
 
 def oversized(contexts: DataFrame, max_tokens: int = MAX_TOKENS, overlap_tokens: int = OVERLAP_TOKENS) -> DataFrame:
