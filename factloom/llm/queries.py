@@ -90,7 +90,17 @@ lines AS (
 repeated AS (SELECT issuer, line FROM lines WHERE line <> '' GROUP BY ALL HAVING count(DISTINCT source_file) >= 12)
 """
 
+_PAIRS = r"""
+ids AS (SELECT lower(regexp_replace(fact_a_id, '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g')) AS a, lower(regexp_replace(fact_b_id, '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g')) AS b, lower(regexp_replace(status, '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g')) AS s FROM fact_relationships),
+links AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM ids WHERE s = 'corroboration' UNION ALL SELECT b, a FROM ids WHERE s = 'corroboration') WHERE a <> '' AND b <> '' AND a <> b),
+reach AS (SELECT a AS node, a AS other FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other)
+"""
+
 SQL: dict[str, str] = {
+    "p1_found": f"WITH RECURSIVE {_PAIRS} SELECT node AS fact_id, min(other) AS group_id FROM reach GROUP BY node",
+    "p1_groups": f"""WITH RECURSIVE {_PAIRS}, g AS (SELECT node, min(other) AS low FROM reach GROUP BY node),
+        n AS (SELECT DISTINCT x FROM (SELECT a AS x FROM ids UNION ALL SELECT b FROM ids UNION ALL SELECT lower(regexp_replace(fact_id, '^\\s+|\\s+$', '', 'g')) FROM canonical_facts) WHERE x <> '')
+        SELECT x AS fact_id, coalesce(low, x) AS group_id FROM n LEFT JOIN g ON g.node = x""",
     "p3_found": r"""
         SELECT DISTINCT context_id FROM compact_contexts
         WHERE length(array_to_string(list_filter(list_transform(evidence, lambda e: e.text), lambda t: t IS NOT NULL AND t <> ''), chr(10) || chr(10))) // 4 > 2500
