@@ -56,8 +56,14 @@ def hash_counts(c: Column, dim: int = DIM) -> Column:
     return F.aggregate(buckets, F.array_repeat(F.lit(0), dim), lambda counts, b: F.transform(counts, lambda x, i: x + (i == b).cast("int")))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("bigint") * y), F.lit(0).cast("bigint"), lambda s, x: s + x)
+def filled_places(counts: Column) -> Column:
+    """(i, n) of the places of a vector of counts that are not zero."""
+    return F.filter(F.transform(counts, lambda n, i: F.struct(i.alias("i"), n.alias("n"))), lambda p: p["n"] != 0)
+
+
+def sparse_dot(filled: Column, counts: Column) -> Column:
+    """The product of two vectors of counts by one's filled places: a text's words fill a few of them."""
+    return F.aggregate(filled, F.lit(0).cast("bigint"), lambda s, p: s + p["n"].cast("bigint") * F.get(counts, p["i"]))
 
 
 def unit_vector(v: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import written
-from .embed import dot, hash_counts, identity_text
+from .embed import filled_places, hash_counts, identity_text, sparse_dot
 
 THRESHOLD = 0.75
 #: Relative difference up to which two values are equal.
@@ -100,7 +100,8 @@ def fact_classes(facts: DataFrame) -> DataFrame:
     c = facts.where((F.coalesce("status", F.lit("VALID")) == "VALID") & F.col("fact_id").isNotNull()).withColumn("doc", doc).groupBy(*key).agg(F.min("fact_id").alias("fact_id"), F.countDistinct("fact_id").alias("members"))
     c = c.withColumn("e", norm(F.col("entity"))).withColumn("a", attribute_tokens(F.col("attribute"))).withColumn("v", value_number(F.col("raw_value"))).withColumn("u", unit_type(F.col("raw_value"))).withColumn("t", norm(F.col("time"))).withColumn("s", norm(F.col("scope")))
     c = c.withColumn("has_t", T.text_of("time") != "").withColumn("has_s", T.text_of("scope") != "").withColumn("counts", hash_counts(identity_text()))
-    return c.select("fact_id", "members", "doc", "e", "a", "v", "u", "t", "s", "has_t", "has_s", "counts", dot(F.col("counts"), F.col("counts")).alias("norm2"))
+    c = c.withColumn("filled", filled_places(F.col("counts")))
+    return c.select("fact_id", "members", "doc", "e", "a", "v", "u", "t", "s", "has_t", "has_s", "counts", "filled", sparse_dot(F.col("filled"), F.col("counts")).alias("norm2"))
 
 
 def candidate_pairs(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -110,12 +111,15 @@ def candidate_pairs(classes: DataFrame, threshold: float = THRESHOLD) -> DataFra
     keys, so only compatible pairs are ever formed. The threshold is tested on whole numbers, free of rounding.
     """
     pairs_e, pairs_a = written(compatible_entities(classes.select("e").distinct()), "entities"), written(compatible_attributes(classes.select("a").distinct()), "attributes")
-    left = classes.select(*[F.col(c).alias(c + "_a") for c in classes.columns])
-    right = classes.select(*[F.col(c).alias(c + "_b") for c in classes.columns])
-    meet = left.join(pairs_a.select(F.col("a").alias("a_a"), F.col("a2").alias("a_b")), "a_a").join(pairs_e.select(F.col("e").alias("e_a"), F.col("e2").alias("e_b")), "e_a").join(right, ["a_b", "e_b"]).where("fact_id_a < fact_id_b and doc_a <> doc_b")
-    scored = meet.withColumn("_dot", dot(F.col("counts_a"), F.col("counts_b")).cast("double")).withColumn("_n", F.col("norm2_a").cast("double") * F.col("norm2_b"))
+    # Classes meet as narrow rows; the rest of their columns is joined to the pairs that are left.
+    slim = lambda x: classes.select(*[F.col(c).alias(f"{c}_{x}") for c in ("fact_id", "doc", "a", "e")])
+    rest = lambda x: classes.select(*[F.col(c).alias(f"{c}_{x}") for c in classes.columns if c not in ("doc", "a", "e")])
+    pairs_a, pairs_e = pairs_a.select(F.col("a").alias("a_a"), F.col("a2").alias("a_b")), pairs_e.select(F.col("e").alias("e_a"), F.col("e2").alias("e_b"))
+    ids = slim("a").join(pairs_a, "a_a").join(pairs_e, "e_a").join(slim("b"), ["a_b", "e_b"]).where("fact_id_a < fact_id_b and doc_a <> doc_b").select("fact_id_a", "fact_id_b")
+    meet = ids.join(rest("a"), "fact_id_a").join(rest("b"), "fact_id_b")
+    scored = meet.withColumn("_dot", sparse_dot(F.col("filled_a"), F.col("counts_b")).cast("double")).withColumn("_n", F.col("norm2_a").cast("double") * F.col("norm2_b"))
     near = scored.where((F.col("_n") > 0) & (F.col("_dot") * F.col("_dot") >= threshold * threshold * F.col("_n")))
-    return near.withColumn("similarity", F.round(F.col("_dot") / F.sqrt("_n"), 3)).drop("_dot", "_n", "counts_a", "counts_b", "norm2_a", "norm2_b")
+    return near.withColumn("similarity", F.round(F.col("_dot") / F.sqrt("_n"), 3)).drop("_dot", "_n", "counts_a", "counts_b", "filled_a", "filled_b", "norm2_a", "norm2_b")
 
 
 def relationship() -> Column:
