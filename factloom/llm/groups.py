@@ -1,11 +1,11 @@
-"""Groups from pairwise links: Borůvka hooking on DataFrames."""
+"""Groups of facts from their pairwise links."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import forget, written
+from ..operators.near import group_links
 
 #: White space at either end, no-break spaces included.
 _ENDS = r"(?U)^\s+|\s+$"
@@ -28,60 +28,6 @@ def links_of(relationships: DataFrame, status: str = "corroboration") -> DataFra
     )
 
 
-def _hooks(links: DataFrame) -> DataFrame:
-    """(c, p): each component's other end of its smallest link; of two that chose one link, the smaller is a root."""
-    edge = F.struct("u", "v").alias("e")
-    picks = links.select(F.col("u").alias("c"), edge).unionByName(links.select(F.col("v").alias("c"), edge)).groupBy("c").agg(F.min("e").alias("e"))
-    chosen = picks.groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c"))
-    u, v, c = F.col("e.u"), F.col("e.v"), F.col("c")
-    rows = F.when(F.col("n") == 2, F.array(F.struct(u.alias("c"), u.alias("p")), F.struct(v.alias("c"), u.alias("p")))).otherwise(F.array(F.struct(c.alias("c"), F.when(c == u, v).otherwise(u).alias("p"))))
-    return chosen.select(F.inline(rows))
-
-
-def _collapse(hooks: DataFrame) -> DataFrame:
-    """(c, p) with p the root of c's tree, by pointer doubling: the depth halves in each pass."""
-    here = written(hooks, "hooks")
-    while True:
-        up = here.select(F.col("c").alias("p"), F.col("p").alias("q"))
-        twice = here.join(up, "p").select("c", F.col("q").alias("p"))
-        top = up.select(F.col("p").alias("q"), F.col("q").alias("r"))
-        there = written(twice.join(top, twice["p"] == top["q"]).select("c", F.col("r").alias("p"), (F.col("r") != F.col("p")).alias("moved")), "hooks")
-        forget(here)
-        here = there.select("c", "p")
-        if there.where("moved").isEmpty():
-            return here
-
-
-def group_links(links: DataFrame) -> DataFrame:
-    """(node, group_id) for each node of the links (u < v, distinct); group_id is the smallest node linked to it directly or through others.
-
-    Each round, every component takes its smallest outgoing link, the trees that arise collapse by pointer
-    doubling, and links are relabelled and deduplicated; components at least halve in a round. Minima are
-    combined before each shuffle, so a node with very many links is no hot task; joins that look labels up
-    are sort-merge joins whose skewed partitions are split at run time. Without links the result is empty.
-    """
-    left, rounds = written(links.select("u", "v"), "links"), []
-    while not left.isEmpty():
-        roots = _collapse(_hooks(left))
-        rounds.append(roots)
-        a, b = roots.select(F.col("c").alias("u"), F.col("p").alias("a")), roots.select(F.col("c").alias("v"), F.col("p").alias("b"))
-        kept = left.join(a, "u").join(b, "v").where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-        after = written(kept, "links")
-        forget(left)
-        left = after
-    if not rounds:
-        return links.select(F.col("u").alias("node"), F.col("u").alias("group_id")).limit(0)
-    # From the last round back: each round's roots are the nodes of the next, so sizes fall by half.
-    to = rounds.pop()
-    while rounds:
-        top = to.select(F.col("c").alias("p"), F.col("p").alias("q"))
-        to = rounds.pop().join(top, "p", "left").select("c", F.coalesce("q", "p").alias("p"))
-    to = written(to, "roots")
-    # Written, so that the join below is of two plain shuffles, whose skewed partitions can be split.
-    least = written(to.groupBy("p").agg(F.min("c").alias("group_id")), "least")
-    return to.join(least, "p").select(F.col("c").alias("node"), "group_id")
-
-
 def fact_groups(relationships: DataFrame, facts: DataFrame) -> DataFrame:
     """(fact_id, group_id): every fact id of either table once; a fact without links is its own group."""
     named = facts.select(tidy(F.col("fact_id")).alias("node")).unionByName(relationships.select(F.explode(F.array(tidy(F.col("fact_a_id")), tidy(F.col("fact_b_id")))).alias("node")))

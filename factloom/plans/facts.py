@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import sql as S
 from ..functions import text as T
 from ..operators import canonical as C
-from ..operators import cleanup, cluster, embed, grounding, layout, matching, packing, report, scoring
+from ..operators import cleanup, cluster, embed, grounding, layout, matching, near, packing, report, scoring
 from ..session import table, written
 from . import inputs as I
 from .structure import _BLOCK_ROWS, _BLOCKS, joined
@@ -48,26 +48,34 @@ def round_robin_budget(spark: SparkSession, d: str) -> DataFrame:
 def _clustered(spark: SparkSession, d: str) -> DataFrame:
     e = I.evidence(spark, d, "source_file", "page_number", "evidence_type", "text", "section_heading", "table_caption", "row_label", "column_label", "number_hints", "unit_hint", "time_hint", "embedding")
     usable = scoring.drop_repeats(e).where(~scoring.is_low_information() & (F.size("embedding") == 128) & ~F.exists("embedding", lambda x: F.isnan(x) | x.isNull()) & F.exists("embedding", lambda x: x != 0))
-    return usable.select(F.concat_ws(":", T.text_of("source_file"), "page_number").alias("page"), "evidence_id", T.text_of("source_file").alias("source_file"), "page_number", "text", "embedding", scoring.structural_class().alias("kind"))
+    return usable.select("evidence_id", T.text_of("source_file").alias("source_file"), "page_number", "text", "embedding", scoring.structural_class().alias("kind"))
+
+
+def _groups(m: DataFrame) -> DataFrame:
+    """(block, evidence_id, group_id, group_size): groups of the evidence of all files; a block is a component of its near pairs."""
+    linked = written(near.near_components(m, "evidence_id", "embedding", cluster.SIMILARITY), "components")
+    placed = m.join(linked, "evidence_id", "left")
+    alone = placed.where("component is null").select(F.col("evidence_id").alias("block"), "evidence_id", F.col("evidence_id").alias("group_id"), F.lit(1).alias("group_size"))
+    return cluster.cluster(placed.where("component is not null").withColumnRenamed("component", "block"), "block").unionByName(alone)
 
 
 def cluster_evidence(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.cluster(_clustered(spark, d), "page")
+    return _groups(written(_clustered(spark, d), "members"))
 
 
 def pack_contexts(spark: SparkSession, d: str) -> DataFrame:
     m = written(_clustered(spark, d), "members")
-    groups = cluster.cluster(m, "page").select("page", "evidence_id", "group_id")
-    return packing.pack_contexts(m.join(groups, ["page", "evidence_id"]).withColumn("cost", packing.context_cost()), ["page"])
+    groups = _groups(m).select("block", "evidence_id", "group_id")
+    return packing.pack_contexts(m.join(groups, "evidence_id").withColumn("cost", packing.context_cost()), ["block"])
 
 
 def context_topics(spark: SparkSession, d: str) -> DataFrame:
     m = written(_clustered(spark, d), "members")
-    groups = written(cluster.cluster(m, "page"), "groups")
+    groups = written(_groups(m), "groups")
     e = I.evidence(spark, d, "source_file", "page_number", "text", "section_heading", "table_caption").join(groups, "evidence_id")
-    labels = scoring.topic_labels(e, ["page", "group_id"]).join(groups.groupBy("page", "group_id").agg(F.max("group_size").alias("size")), ["page", "group_id"])
-    packed = packing.pack_contexts(m.join(groups, ["page", "evidence_id"]).withColumn("cost", packing.context_cost()), ["page"])
-    return packing.context_topics(packed, labels, ["page"])
+    labels = scoring.topic_labels(e, ["block", "group_id"]).join(groups.groupBy("block", "group_id").agg(F.max("group_size").alias("size")), ["block", "group_id"])
+    packed = packing.pack_contexts(m.join(groups, "evidence_id").withColumn("cost", packing.context_cost()), ["block"])
+    return packing.context_topics(packed, labels, ["block"])
 
 
 def unit_vectors(spark: SparkSession, d: str) -> DataFrame:

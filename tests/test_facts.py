@@ -8,7 +8,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import canonical, cluster, embed, extraction, grounding, matching, packing, report
+from factloom.operators import canonical, cluster, embed, extraction, grounding, matching, near, packing, report
+from factloom.plans import facts
 from factloom.sources import documents
 from factloom.streaming import evidence as stream
 
@@ -176,3 +177,43 @@ def test_context_topics(spark):
     packed = spark.createDataFrame([("p", g, 1) for g in "abcd"] + [("p", "e", 2)], "page string, group_id string, context_no int")
     labels = spark.createDataFrame([("p", "a", "A", 1), ("p", "b", "B", 3), ("p", "c", "C", 2), ("p", "d", None, 2), ("p", "e", "E", 1)], "page string, group_id string, topic_label string, size int")
     assert {r.context_no: r.topic for r in packing.context_topics(packed, labels, ["page"]).collect()} == {1: "B | C | ", 2: "E"}
+
+
+EVIDENCE = "evidence_id string, source_file string, page_number int, evidence_type string, text string, section_heading string, table_caption string, row_label string, column_label string, number_hints array<string>, unit_hint string, time_hint string, entity_hint string, embedding array<float>, loaded_at timestamp"
+
+
+def unit(i, source, page, vector, text=None):
+    return (i, source, page, "PROSE", text or f"text of {i}", None, None, None, None, None, None, None, None, [float(x) for x in vector], None)
+
+
+def near_units():
+    """Units on pages of three files: clusters that reach over files, and some on their own."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 128))
+    return [unit(f"e{i:03d}", f"f{i % 3}.pdf", i % 7, centres[i % 12] + rng.normal(size=128) * rng.choice([0.3, 0.6, 0.8])) for i in range(150)]
+
+
+def test_evidence_of_all_files_is_clustered(spark, tmp_path):
+    spark.createDataFrame(near_units(), EVIDENCE).write.parquet(f"{tmp_path}/evidence_units.parquet")
+    rows = facts.cluster_evidence(spark, str(tmp_path)).collect()
+    x = sorted(near_units())
+    labels = cluster.average_linkage(cluster.distances(np.array([r[13] for r in x], np.float32), ["prose"] * len(x)), 1 - cluster.SIMILARITY)
+    want = {frozenset(x[i][0] for i in np.flatnonzero(labels == k)) for k in set(labels.tolist())}
+    got = {}
+    for r in rows:
+        got.setdefault(r.group_id, set()).add(r.evidence_id)
+    assert {frozenset(g) for g in got.values()} == want and all(min(g) == i for i, g in got.items())
+    assert {r.evidence_id: r.group_size for r in rows} == {e: len(g) for g in got.values() for e in g} and max(map(len, want)) > 3
+
+
+def test_near_components_of_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 6))
+    df = spark.createDataFrame([(f"k{i:03d}", x[i].tolist()) for i in range(300)], "key string, v array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    i, j = np.nonzero(u @ u.T > 0.93)
+    label = near._hook(np.arange(300), i, j)
+    want = {f"k{a:03d}": f"k{b:03d}" for a, b in enumerate(label) if (label == b).sum() > 1}
+    for alone in (10, 1000):
+        links = near.near_links(df, "key", "v", 0.93, block=50, alone=alone)
+        assert {r.node: r.group_id for r in near.group_links(links).collect()} == want and len(set(want.values())) > 5
