@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import written
+from . import near
 
 CHARS = 4
 STRUCTURED_TOKENS, API_TOKENS, EVIDENCE_TOKENS, CONTEXT_TOKENS, PER_GROUP = 6500, 2000, 2200, 2500, 30
@@ -157,42 +158,50 @@ def pack_groups(groups: pd.DataFrame, budget: int = CONTEXT_TOKENS) -> list[list
     """Groups combined to contexts: the largest left seeds, the most similar one joins until none fits.
 
     groups: group_id, size, tokens, sources (set), centroid. Of equals the smallest id is taken. The first candidate
-    beyond the budget ends the context.
+    beyond the budget ends the context. One pass over the centroids for each group, and no matrix of them.
     """
-    left = {g.group_id: g for g in groups.itertuples()}
-    out = []
-    while left:
-        seed = min(left, key=lambda i: (-left[i].size, i))
-        chosen = [left.pop(seed)]
-        tokens, sources = chosen[0].tokens, set(chosen[0].sources)
-        while left:
-            best, top = None, GROUP_SIMILARITY - 0.01
-            centroids = np.stack([c.centroid for c in chosen])
-            for i in sorted(left):
-                near = float((centroids @ left[i].centroid).max())
-                if near >= GROUP_SIMILARITY:
-                    score = near + (SOURCE_BONUS if sources and sources.isdisjoint(left[i].sources) else 0.0)
-                    if score > top:
-                        best, top = i, score
-            if best is None or tokens + left[best].tokens > budget:
+    g = groups.sort_values("group_id", kind="stable").reset_index(drop=True)
+    ids, size, cost, sources = g["group_id"].tolist(), g["size"].to_numpy(), g["tokens"].tolist(), g["sources"].tolist()
+    c = np.stack(g["centroid"].to_list())
+    holders: dict[str, list[int]] = {}
+    for i, names in enumerate(sources):
+        for name in names:
+            holders.setdefault(name, []).append(i)
+    left, out = np.ones(len(g), bool), []
+    for seed in np.argsort(-size, kind="stable").tolist():
+        if not left[seed]:
+            continue
+        chosen, tokens, seen, new = [], 0, set(), seed
+        nearest, other = np.full(len(g), -np.inf), np.ones(len(g), bool)
+        while True:
+            chosen.append(new)
+            left[new], tokens = False, tokens + cost[new]
+            for name in sources[new] - seen:
+                other[holders[name]] = False
+            seen |= sources[new]
+            nearest = np.maximum(nearest, c @ c[new])
+            score = np.where(left & (nearest >= GROUP_SIMILARITY), nearest + (SOURCE_BONUS * other if seen else 0.0), -np.inf)
+            new = int(np.argmax(score))
+            if score[new] == -np.inf or tokens + cost[new] > budget:
                 break
-            tokens += left[best].tokens
-            sources |= set(left[best].sources)
-            chosen.append(left.pop(best))
-        out.append([c.group_id for c in chosen])
+        out.append([ids[i] for i in chosen])
     return out
 
 
-def pack_contexts(members: DataFrame, block: list[str], budget: int = CONTEXT_TOKENS) -> DataFrame:
-    """(block…, group_id, context_no): groups of each block packed to contexts, numbered from 1 in the block.
+def group_rows(members: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys…, size, tokens, sources, centroid): one row a group, with its cost, sources and mean direction.
 
-    members: block columns, group_id, source_file, cost, embedding. A group is first brought to one row (its size,
-    cost, sources and mean direction), so that a block's task holds groups, not members.
+    members: keys, source_file, cost, embedding.
     """
-    dims = members.select(*block, "group_id", F.posexplode("embedding").alias("d", "x")).groupBy(*block, "group_id", "d").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    mean = dims.groupBy(*block, "group_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda p: p["x"]).alias("centroid"))
-    facts = members.groupBy(*block, "group_id").agg(F.count(F.lit(1)).cast("int").alias("size"), F.sum("cost").alias("tokens"), F.sort_array(F.collect_set("source_file")).alias("sources"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in members.select(*block).schema.fields) + ", group_id string, context_no int"
+    dims = members.select(*keys, F.posexplode("embedding").alias("d", "x")).groupBy(*keys, "d").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    mean = dims.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda p: p["x"]).alias("centroid"))
+    facts = members.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("size"), F.sum("cost").alias("tokens"), F.sort_array(F.collect_set("source_file")).alias("sources"))
+    return facts.join(mean, keys)
+
+
+def pack_rows(rows: DataFrame, block: list[str], budget: int = CONTEXT_TOKENS) -> DataFrame:
+    """(block…, group_id, context_no): groups of each block, one row each as from group_rows(), packed to contexts numbered from 1 in the block."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*block).schema.fields) + ", group_id string, context_no int"
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         unit = [np.asarray(c, float) / max(float(np.linalg.norm(c)), 1e-12) for c in df["centroid"]]
@@ -203,7 +212,21 @@ def pack_contexts(members: DataFrame, block: list[str], budget: int = CONTEXT_TO
             out.insert(0, b, df[b].iloc[0])
         return out
 
-    return facts.join(mean, [*block, "group_id"]).groupBy(*block).applyInPandas(run, schema)
+    return rows.groupBy(*block).applyInPandas(run, schema)
+
+
+def pack_contexts(members: DataFrame, budget: int = CONTEXT_TOKENS) -> DataFrame:
+    """(block, group_id, context_no): groups of all documents packed to contexts, numbered from 1 in the block.
+
+    members: group_id, source_file, cost, embedding. A context joins groups through similarities of GROUP_SIMILARITY or
+    more, so it lies within one component of them: blocks are those components, named by their smallest group, and
+    change nothing. A block's task holds groups, not members; a group that is like no other is a context of its own.
+    """
+    rows = written(group_rows(members, ["group_id"]), "groups")
+    linked = written(near.near_components(rows, "group_id", "centroid", GROUP_SIMILARITY), "components")
+    placed = rows.join(linked, "group_id", "left")
+    alone = placed.where("component is null").select(F.col("group_id").alias("block"), "group_id", F.lit(1).alias("context_no"))
+    return pack_rows(placed.where("component is not null").withColumnRenamed("component", "block"), ["block"], budget).unionByName(alone)
 
 
 def context_topics(packed: DataFrame, labels: DataFrame, block: list[str]) -> DataFrame:

@@ -65,17 +65,17 @@ def cluster_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 def pack_contexts(spark: SparkSession, d: str) -> DataFrame:
     m = written(_clustered(spark, d), "members")
-    groups = _groups(m).select("block", "evidence_id", "group_id")
-    return packing.pack_contexts(m.join(groups, "evidence_id").withColumn("cost", packing.context_cost()), ["block"])
+    groups = _groups(m).select("evidence_id", "group_id")
+    return packing.pack_contexts(m.join(groups, "evidence_id").withColumn("cost", packing.context_cost()))
 
 
 def context_topics(spark: SparkSession, d: str) -> DataFrame:
     m = written(_clustered(spark, d), "members")
-    groups = written(_groups(m), "groups")
+    groups = written(_groups(m).select("evidence_id", "group_id", "group_size"), "groups")
     e = I.evidence(spark, d, "source_file", "page_number", "text", "section_heading", "table_caption").join(groups, "evidence_id")
-    labels = scoring.topic_labels(e, ["block", "group_id"]).join(groups.groupBy("block", "group_id").agg(F.max("group_size").alias("size")), ["block", "group_id"])
-    packed = packing.pack_contexts(m.join(groups, "evidence_id").withColumn("cost", packing.context_cost()), ["block"])
-    return packing.context_topics(packed, labels, ["block"])
+    labels = scoring.topic_labels(e, ["group_id"]).join(groups.groupBy("group_id").agg(F.max("group_size").alias("size")), "group_id")
+    packed = written(packing.pack_contexts(m.join(groups, "evidence_id").withColumn("cost", packing.context_cost())), "packed")
+    return packing.context_topics(packed, labels.join(packed.select("block", "group_id"), "group_id"), ["block"])
 
 
 def unit_vectors(spark: SparkSession, d: str) -> DataFrame:

@@ -217,3 +217,46 @@ def test_near_components_of_all_pairs(spark):
     for alone in (10, 1000):
         links = near.near_links(df, "key", "v", 0.93, block=50, alone=alone)
         assert {r.node: r.group_id for r in near.group_links(links).collect()} == want and len(set(want.values())) > 5
+
+
+def packed_by_hand(groups, budget):
+    """Every candidate against every group of the context, over all groups at once."""
+    left, out = dict(groups), []
+    while left:
+        seed = min(left, key=lambda i: (-left[i][0], i))
+        chosen = [left.pop(seed)]
+        names = [seed]
+        while True:
+            best, top = None, 0.57
+            for i in sorted(left):
+                close = max(float(c[3] @ left[i][3]) for c in chosen)
+                score = close + (0.08 if not set().union(*[c[2] for c in chosen]) & left[i][2] else 0)
+                if close >= 0.58 and score > top:
+                    best, top = i, score
+            if best is None or sum(c[1] for c in chosen) + left[best][1] > budget:
+                break
+            chosen.append(left.pop(best))
+            names.append(best)
+        out.append(names)
+    return out
+
+
+def test_contexts_join_groups_of_all_documents(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(8, 128))
+    rows = [unit(f"e{i:03d}", f"f{i % 5}.pdf", i % 9, centres[i % 8] + rng.normal(size=128) * 0.8, "word " * int(rng.integers(20, 700))) for i in range(160)]
+    spark.createDataFrame(rows, EVIDENCE).write.parquet(f"{tmp_path}/evidence_units.parquet")
+    d = str(tmp_path)
+    group = {r.evidence_id: r.group_id for r in facts.cluster_evidence(spark, d).collect()}
+    members = {g: [r for r in rows if group[r[0]] == g] for g in set(group.values())}
+    cost = lambda r: -(-len(r[4]) // 4) + -(-len(f"[{r[0]}] {r[1]} p.{r[2]}") // 4) + 5
+    mean = lambda x: x / np.linalg.norm(x)
+    groups = {g: (len(m), sum(map(cost, m)), {r[1] for r in m}, mean(np.float32([r[13] for r in m]).astype(float).mean(axis=0))) for g, m in members.items()}
+    want = packed_by_hand(groups, packing.CONTEXT_TOKENS)
+    got = {}
+    for r in facts.pack_contexts(spark, d).collect():
+        got.setdefault((r.block, r.context_no), set()).add(r.group_id)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want))
+    assert any(len({s for g in c for s in groups[g][2]}) > max(len(groups[g][2]) for g in c) for c in want if len(c) > 1)
+    topics = facts.context_topics(spark, d).collect()
+    assert {(r.block, r.context_no) for r in topics} == set(got) and all(r.topic for r in topics)
