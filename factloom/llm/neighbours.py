@@ -15,8 +15,8 @@ from .hnsw import Graph
 
 #: Neighbours, least cosine, numbers in a vector.
 K, MIN_COSINE, DIM = 10, 0.75, 128
-#: Vectors a shard should hold. A vector is indexed in its nearest shard and in a second whose centre is less similar
-#: by MARGIN at most; it is found, and searches, in both.
+#: Vectors a shard should hold. A vector is indexed in its nearest shard and in every other whose centre is less similar
+#: by MARGIN at most; it is found, and searches, in all of them.
 SHARD, MARGIN = 8192, 0.08
 #: The centroids that shards are made by are fitted on a sample of so many vectors a shard, in all at most SAMPLE.
 PER_SHARD, SAMPLE = 64, 40_000
@@ -78,6 +78,12 @@ def shard_centres(sample: np.ndarray, rows: int, shard: int = SHARD) -> np.ndarr
     return np.stack(done)
 
 
+def shards_of(v: np.ndarray, centres: np.ndarray, margin: float = MARGIN) -> tuple[np.ndarray, np.ndarray]:
+    """(row, shard): each row's nearest centre and all others that are less similar by margin at most."""
+    s = v @ centres.T
+    return np.nonzero(s.max(axis=1, keepdims=True) - s <= margin)
+
+
 def _vector_key(v: Column) -> list[Column]:
     """128 bits by which vectors with the same numbers are told."""
     return [F.xxhash64(v).alias("_h1"), F.xxhash64(F.lit("second"), v).alias("_h2")]
@@ -113,16 +119,9 @@ def nearest(units: DataFrame, key: str = "evidence_id", vector: str = "embedding
         for batch in batches:
             right, v = unit_rows(batch.column(1), dim)
             keys = batch.column(0).filter(pa.array(right))
-            s = v @ c.T
-            rows = np.arange(len(v))
-            own = s.argmax(axis=1)
-            best = s[rows, own]
-            s[rows, own] = -4
-            second = s.argmax(axis=1)
-            near = np.flatnonzero(best - s[rows, second] <= margin)
-            for at, to in ((rows, own), (near, second[near])):
-                data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), len(at), [None, pa.py_buffer(np.ascontiguousarray(v[at]))])
-                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), keys.take(pa.array(at)), data.cast(pa.binary())], ["shard", "key", "v"])
+            at, to = shards_of(v, c, margin)
+            data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), len(at), [None, pa.py_buffer(np.ascontiguousarray(v[at]))])
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), keys.take(pa.array(at)), data.cast(pa.binary())], ["shard", "key", "v"])
 
     kind = base.schema["key"].dataType.simpleString()
 
@@ -139,7 +138,7 @@ def nearest(units: DataFrame, key: str = "evidence_id", vector: str = "embedding
         return pa.table([names.take(pa.array(a)), names.take(pa.array(to)), pa.array(exact)], ["a", "b", "cosine"])
 
     found = index.mapInArrow(route, f"shard int, key {kind}, v binary").groupBy("shard").applyInArrow(search, f"a {kind}, b {kind}, cosine double").where(F.col("cosine") >= min_cosine)
-    # A pair found in two shards counts once; the cosines are equal.
+    # A pair found in several shards counts once; the cosines are equal.
     lists = found.groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("cosine")).alias("far"), "b"))), 1, k + 1).alias("near"))
     if copies.isEmpty():
         return lists.select("a", F.inline(F.slice("near", 1, k))).select("a", "b", (-F.col("far")).alias("cosine"))

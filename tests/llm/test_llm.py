@@ -342,3 +342,39 @@ def test_residue_in_a_long_text(spark):
 def test_pairs_of_forms_are_not_quoted():
     for t, n in {"“{{a}}” stays": 0, "{{a}} left": 1, 'the field "{x}" is': 0, "see note [a] and [1]": 0, "[à compléter]": 1, "44% of 10%": 0, "#REF!": 1, "XX.X%": 1, "[●]": 1}.items():
         assert len(residue.tokens_of(t)[1]) == n, t
+
+
+def skewed_vectors(n=20_000):
+    """A third around one direction, the rest in small clusters."""
+    rng = np.random.default_rng(12)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    dense = unit(rng.normal(size=128)) + unit(rng.normal(size=(n // 3, 128))) * 0.5
+    rest = unit(rng.normal(size=(400, 128)))[rng.integers(0, 400, n - n // 3)] + unit(rng.normal(size=(n - n // 3, 128))) * 0.5
+    return unit(np.concatenate([dense, rest])).astype(np.float32)
+
+
+def routed_recall(x, at, to, queries):
+    """Share of the ten most similar of each query that meet it in some shard."""
+    shards = [set() for _ in x]
+    for i, k in zip(at.tolist(), to.tolist(), strict=True):
+        shards[i].add(k)
+    s = x[queries] @ x.T
+    s[np.arange(len(queries)), queries] = -2
+    top = np.argpartition(-s, 10, axis=1)[:, :10]
+    return np.mean([bool(shards[q] & shards[j]) for q, row in zip(queries, top, strict=True) for j in row])
+
+
+def test_every_shard_within_the_margin_takes_a_vector():
+    x = skewed_vectors()
+    for shard in (2000, 400):
+        c = neighbours.shard_centres(x[::4], len(x), shard)
+        at, to = neighbours.shards_of(x, c)
+        s = x @ c.T
+        two = np.argsort(-s, axis=1)[:, :2]
+        near = np.take_along_axis(s, two, 1)
+        second = near[:, 0] - near[:, 1] <= neighbours.MARGIN
+        queries = np.arange(0, len(x), 40)
+        before = routed_recall(x, np.r_[np.arange(len(x)), np.flatnonzero(second)], np.r_[two[:, 0], two[second, 1]], queries)
+        now = routed_recall(x, at, to, queries)
+        print("shards", len(c), "recall of the routing", before, now, "copies a vector", len(at) / len(x))
+        assert now > before and now > 0.97
