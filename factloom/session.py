@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import reduce
@@ -20,16 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the one the cluster names, or, where none is named, a folder set here.
 
-    A folder of this machine is only set on a local master, where driver and executors are one process.
+    A folder of this machine is only set on a local master, where driver and executors are one process, and is removed
+    at the end of the process.
     """
     named = spark.conf.get(SHARED, None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError(f"set {SHARED} to a folder that all executors reach")
-    own = "file://" + tempfile.mkdtemp(prefix="factloom-")
-    spark.conf.set(SHARED, own)
-    return own
+    own = tempfile.mkdtemp(prefix="factloom-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.conf.set(SHARED, "file://" + own)
+    return "file://" + own
 
 
 def written(df: DataFrame, name: str = "t") -> DataFrame:
