@@ -54,6 +54,13 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def complete(spark: SparkSession, pattern: str) -> list[str]:
+    """The folders of tables matching pattern whose write has ended, in the order of their names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern + "/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return sorted(f.getPath().getParent().toString() for f in found)
+
+
 def latest(df: DataFrame, key: str, version: str = "loaded_at") -> DataFrame:
     """One whole row per key: that of the greatest version, and of rows equal in it the one greatest in its other columns.
 
