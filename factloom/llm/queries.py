@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..session import table
 from . import byte_bpe, containers, groups, neighbours, repeated_lines, residue, splitting
 
+#: Columns of the elements that the queries of problem 5 return.
+_COLUMNS = ["element_id", "source_file", "page_number", "element_type", "text", "heading", "top", "loaded_at"]
+
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.group_links(groups.links_of(table(spark, sf_dir, "fact_relationships"))).select(F.col("node").alias("fact_id"), "group_id")
@@ -36,12 +39,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ["element_id", "source_file", "page_number", "element_type", "text", "heading", "top", "loaded_at"]
-    return repeated_lines.without_repeated(table(spark, sf_dir, "document_elements").select(columns)).drop("loaded_at")
+    return repeated_lines.without_repeated(table(spark, sf_dir, "document_elements").select(_COLUMNS)).drop("loaded_at")
 
 
 def p5_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_lines.rebuilt_files(spark, table(spark, sf_dir, "document_elements"))
+    return repeated_lines.rebuilt_documents(table(spark, sf_dir, "document_elements").select(_COLUMNS)).drop("loaded_at")
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +92,15 @@ lines AS (
 repeated AS (SELECT issuer, line FROM lines WHERE line <> '' GROUP BY ALL HAVING count(DISTINCT source_file) >= 12)
 """
 
+_DELTAS = r"""
+by_delta AS (SELECT *, ((instr('0123456789abcdef', substr(md5(source_file), 1, 1)) - 1) % 4)::INT AS dl FROM lines WHERE line <> '' AND element_id IS NOT NULL),
+steps AS (SELECT unnest([0, 1, 2, 3])::INT AS d),
+crossed AS (SELECT d, issuer, line FROM steps JOIN by_delta ON dl <= d GROUP BY ALL HAVING count(DISTINCT source_file) >= 12),
+gone AS (SELECT element_id, min(d) AS g FROM by_delta JOIN crossed USING (issuer, line) WHERE d >= dl GROUP BY element_id),
+one AS (SELECT *, ((instr('0123456789abcdef', substr(md5(coalesce(source_file, '')), 1, 1)) - 1) % 4)::INT AS own FROM document_elements WHERE element_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY element_id ORDER BY loaded_at DESC) = 1),
+built AS (SELECT DISTINCT source_file, own AS delta FROM one UNION SELECT source_file, greatest(g, own) FROM one JOIN gone USING (element_id))
+"""
+
 _PAIRS = r"""
 ids AS (SELECT lower(regexp_replace(fact_a_id, '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g')) AS a, lower(regexp_replace(fact_b_id, '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g')) AS b, lower(regexp_replace(status, '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g')) AS s FROM fact_relationships),
 links AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM ids WHERE s = 'corroboration' UNION ALL SELECT b, a FROM ids WHERE s = 'corroboration') WHERE a <> '' AND b <> '' AND a <> b),
@@ -111,4 +122,7 @@ SQL: dict[str, str] = {
         SELECT element_id, source_file, page_number, element_type, text, heading, top FROM document_elements
         WHERE element_id IS NOT NULL AND element_id NOT IN (SELECT element_id FROM found)
         QUALIFY row_number() OVER (PARTITION BY element_id ORDER BY loaded_at DESC) = 1""",
+    "p5_rebuilt": f"""WITH {_LINES}, {_DELTAS}
+        SELECT b.delta, o.element_id, o.source_file, o.page_number, o.element_type, o.text, o.heading, o.top FROM one o JOIN built b ON o.source_file IS NOT DISTINCT FROM b.source_file LEFT JOIN gone g ON g.element_id = o.element_id
+        WHERE g.g IS NULL OR g.g > b.delta""",
 }

@@ -1,5 +1,6 @@
 """The operators of the llm subpackage against brute force, round trips and hand-made edge cases."""
 
+import hashlib
 import random
 from datetime import datetime
 
@@ -194,19 +195,54 @@ def test_repeated_lines(spark):
     assert repeated_lines.repeated_elements(df.limit(0)).count() == 0
 
 
-def test_deltas_equal_one_pass(spark):
+def test_deltas_equal_one_pass(spark, tmp_path):
+    """Deltas cross the threshold once, a delta merged again changes nothing, and another session goes on with the folder."""
     df = spark.createDataFrame(elements(30) + elements(11, "Legal", "b"), ELEMENTS)
     lines = repeated_lines.lines_of(df)
-    state, crossed = repeated_lines.LineCounts(), []
+    path = f"file://{tmp_path}/state"
+    crossed = []
     for d in range(4):
-        part = lines.where(F.pmod(F.xxhash64("source_file"), F.lit(4)) == d)
-        crossed += [(r.line, r.n_files) for r in state.merge(part).collect()]
-        again = state.merge(part).count()
-        assert again == 0
+        state = repeated_lines.LineCounts(spark, path)
+        assert len(state.deltas) == 2 * d
+        part = lines.where(F.col("delta") == d)
+        crossed += [(r.h1, r.n_files) for r in state.merge(part).collect()]
+        assert state.merge(part).count() == 0
     assert len(crossed) == 1 and 12 <= crossed[0][1] <= 30
     assert [r.n_files for r in state.repeated().collect()] == [30]
-    removed = repeated_lines.rebuilt_files(spark, df).select("source_file").distinct().count()
-    assert removed == 30
+    state.compact()
+    again = repeated_lines.LineCounts(spark, path)
+    assert len(again.deltas) == 1 and [r.n_files for r in again.repeated().collect()] == [30]
+    more = repeated_lines.lines_of(spark.createDataFrame([("z", "b/2020/99.pdf", "LEGAL 3", T0, "x")], ELEMENTS))
+    assert [(r.source, r.n_files) for r in again.merge(more).collect()] == [("b", 12)]
+    assert repeated_lines.LineCounts(spark).repeated().count() == 0
+
+
+def test_stale_row_of_a_repeated_line(spark):
+    """An element whose older row is a repeated line is found, so it is not among the rest either."""
+    rows = elements(12) + [("old", "a/2020/3.pdf", "page 4 OF 9", T0, "x"), ("old", "a/2020/3.pdf", "Costs fell.", T1, "x")]
+    df = spark.createDataFrame(rows, ELEMENTS)
+    assert "old" in {r.element_id for r in repeated_lines.repeated_elements(df).collect()}
+    assert "old" not in {r.element_id for r in repeated_lines.without_repeated(df).collect()}
+
+
+def test_rebuilt_documents_make_the_clean_text(spark):
+    rows = elements(30) + elements(11, "Legal", "b") + [("n1", None, "Page 1 of 9", T0, "x"), ("n2", None, None, T0, "x"), ("a3:0", "a/2020/3.pdf", "own words", T1, "x"), ("moved", "a/2020/3.pdf", "Page 2 of 9", T0, "x"), ("moved", "b/2020/1.pdf", "else", T1, "x")]
+    df = spark.createDataFrame(rows, ELEMENTS)
+    out = repeated_lines.rebuilt_documents(df).collect()
+    last = {}
+    for r in out:
+        last[r.source_file] = max(last.get(r.source_file, 0), r.delta)
+    clean = {r.element_id: r.text for r in repeated_lines.without_repeated(df).collect()}
+    assert {r.element_id: r.text for r in out if r.delta == last[r.source_file]} == clean
+    # Documents untouched by a delta are not built in it: those of the other issuer, once each.
+    assert len([1 for r in out if r.source_file == "b/2020/5.pdf"]) == 2
+    first = [r for r in out if r.delta == 0 and r.element_id.startswith("a") and r.element_id.endswith(":0")]
+    assert bool(first) == (sum(1 for i in range(30) if delta0(f"a/2020/{i}.pdf")) < 12)
+    assert repeated_lines.rebuilt_documents(df.limit(0)).count() == 0
+
+
+def delta0(name):
+    return int(hashlib.md5(name.encode()).hexdigest()[0], 16) % 4 == 0
 
 
 # 6 ---------------------------------------------------------------------------------------------------------------
