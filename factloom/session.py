@@ -54,11 +54,21 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def complete(spark: SparkSession, pattern: str) -> list[str]:
-    """The folders of tables matching pattern whose write has ended, in the order of their names."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(pattern + "/_SUCCESS")
+def paths(spark: SparkSession, pattern: str) -> list[str]:
+    """The files and folders that match a pattern, in the order of their names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
-    return sorted(f.getPath().getParent().toString() for f in found)
+    return sorted(f.getPath().toString() for f in found)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file of text that is there whole or not at all: it is written under another name first."""
+    new = spark._jvm.org.apache.hadoop.fs.Path
+    fs = new(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(new(path + ".part"))
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    fs.rename(new(path + ".part"), new(path))
 
 
 def latest(df: DataFrame, key: str, version: str = "loaded_at") -> DataFrame:
