@@ -40,7 +40,7 @@ def test_precedence_and_gaps(spark):
     ]
     tables = [(["e1"], "All figures in INR crore"), (["e1"], "All figures in INR crore"), (["e2", "e3"], "[Rs. (millions)]"), (None, "kg"), ([None], "kg")]
     assert run(spark, facts, tables) == {
-        "a": ("kg", 10_890_000), "b": ("bps", 1900), "c": ("INR", 50_000_000), "e": ("count", 5_000_000), "f": ("minute", 41040), "g": ("kg", 11_000_000), "h": ("INR", -5_600_000), "i": ("count", 7), "k": ("kg", 9), "l": ("USD", 3), "m": ("INR", 2000), "n": ("kg", 2_000_000),
+        "a": ("kg", 10_890_000), "b": ("bps", 1900), "c": ("INR", 50_000_000), "e": ("count", 5_000_000), "f": ("minute", 41040), "g": ("kg", 11_000_000), "h": ("INR", -5_600_000), "k": ("kg", 9), "l": ("USD", 3), "m": ("INR", 2000), "n": ("kg", 2_000_000),
     }
 
 
@@ -48,16 +48,37 @@ def test_empty(spark):
     assert run(spark, []) == {}
 
 
-def test_strange_word_is_estimated(spark):
-    """'maund' is in no list; facts of the same thing in other sources tell that it is 37.32 kg or nearly a known conversion."""
+def told(spark, rows, rates=RATES):
+    f = spark.createDataFrame([(i, "Acme", thing, t, None, src, raw, None, None, T0, "x", "y") for i, thing, t, src, raw in rows], FACTS)
+    r = spark.createDataFrame(rates, "unit_code string, kind string, measure string, base_unit string, factor double")
+    return {x.fact_id: (x.base_unit, x.base_value) for x in U.normalize_quantities(f, spark.createDataFrame([], TABLES), r).collect()}
+
+
+def test_strange_words_are_told_along_a_chain_of_sources(spark):
+    """'zent' is tied to kg, 'gart' only to 'zent', 'hulm' only to 'gart', 'isk' only to 'hulm'; 'litres' and 'blorb' to nothing."""
     rows = []
     for i in range(6):
-        rows.append((f"k{i}", "Acme", "stock", f"FY{i}", None, "a.pdf", f"{(i + 1) * 5000} kg", None, None, T0, "x", "y"))
-        rows.append((f"s{i}", "Acme", "Stock", f"FY{i}", None, "b.pdf", f"{(i + 1) * 5} zent", None, None, T0, "x", "y"))
-    rows.append(("other", "Zeta", "stock", "FY9", None, "c.pdf", "3 zent", None, None, T0, "x", "y"))
-    rows.append(("odd", "Zeta", "stock", "FY9", None, "c.pdf", "3 blorb", None, None, T0, "x", "y"))
-    f = spark.createDataFrame(rows, FACTS)
-    t = spark.createDataFrame([], TABLES)
+        n = (i + 1) * 5
+        rows += [(f"k{i}", "stock", f"FY{i}", "a/1.pdf", f"{n * 1000} kg"), (f"z{i}", "Stock", f"FY{i}", "b/1.pdf", f"{n} zent")]
+        rows += [(f"y{i}", "load", f"FY{i}", "b/1.pdf", f"{n} zents"), (f"g{i}", "load", f"FY{i}", "c/1.pdf", f"{n * 1000} gart")]
+        rows += [(f"x{i}", "fill", f"FY{i}", "c/1.pdf", f"{n * 1000} gart"), (f"h{i}", "fill", f"FY{i}", "d/1.pdf", f"{n} hulm")]
+        rows += [(f"w{i}", "heap", f"FY{i}", "d/1.pdf", f"{n} hulm"), (f"i{i}", "heap", f"FY{i}", "e/1.pdf", f"{n} thousand isk")]
+    rows += [("other", "rest", "FY9", "z/1.pdf", "3 zent"), ("odd", "rest", "FY9", "z/1.pdf", "3 blorb"), ("wet", "rest", "FY9", "z/1.pdf", "3 litres"), ("null", "rest", "FY9", None, "4 hulm")]
+    got = told(spark, rows)
+    assert [got[i] for i in ("z2", "y2", "g2", "h2", "i2", "other", "null")] == [("kg", 15_000)] * 5 + [("kg", 3000), ("kg", 4000)]
+    assert not {"odd", "wet"} & set(got)
+
+
+def test_offset_is_applied_and_disagreement_is_not_told(spark):
+    rates = [*RATES, ("celsius", "unit", "temperature", "kelvin", 1.0)]
+    rows = [(f"k{i}", "heat", f"FY{i}", "a/1.pdf", f"{i * i * 100 + 1273} kg") for i in range(1, 7)] + [(f"c{i}", "heat", f"FY{i}", "b/1.pdf", f"{i * i * 100 + 1000} grad") for i in range(1, 7)]
+    rows += [(f"m{i}", "noise", f"FY{i}", "a/1.pdf", f"{x} kg") for i, x in enumerate([3, 900, 14, 77, 2])] + [(f"n{i}", "noise", f"FY{i}", "b/1.pdf", f"{i + 1} wirr") for i in range(5)]
+    got = told(spark, rows, rates)
+    assert got["c2"] == ("kg", 1673) and not any(k.startswith("n") for k in got)
+
+
+def test_known_words_held_out_are_told_again(spark):
+    rows = [(f"{s}{i}", "Acme", "stock", f"FY{i}", None, f"{s}/1.pdf", raw, None, None, T0, "x", "y") for i in range(1, 6) for s, raw in (("a", f"{i * 7000} kg"), ("b", f"{i * 7} tonnes"))]
     r = spark.createDataFrame(RATES, "unit_code string, kind string, measure string, base_unit string, factor double")
-    got = {x.fact_id: (x.base_unit, x.base_value) for x in U.normalize_quantities(f, t, r).collect()}
-    assert got["other"] == ("kg", 3000) and got["s2"] == ("kg", 15000) and "odd" not in got
+    got = U.held_out(spark.createDataFrame(rows, FACTS), spark.createDataFrame([], TABLES), r, ("tonnes",)).collect()
+    assert [tuple(x) for x in got] == [("kg", 5, 5, 5)]
