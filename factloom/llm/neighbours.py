@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import latest, written
@@ -15,12 +15,21 @@ from .hnsw import Graph
 
 #: Neighbours, least cosine, numbers in a vector.
 K, MIN_COSINE, DIM = 10, 0.75, 128
-#: Vectors a shard should hold. A vector is indexed in its nearest shard and in every other whose centre is less similar
-#: by MARGIN at most; it is found, and searches, in all of them.
-SHARD, MARGIN = 8192, 0.08
+#: Vectors a shard should hold. A vector is indexed in its nearest shard and in every other to whose centre its distance
+#: (one less the cosine) is REACH times that to the nearest at most; it is found, and searches, in all of them.
+SHARD, REACH = 4096, 1.1
+#: A shard of more than DIVIDED times SHARD vectors is divided by a hash of the keys, each piece searched for all its vectors.
+DIVIDED, PIECE = 2, 8
+#: Centres are arranged in groups; those of a group are looked at where its own centre is within so many times the nearest group's distance.
+GROUP_REACH = 1.5
 #: The centroids that shards are made by are fitted on a sample of so many vectors a shard, in all at most SAMPLE.
 PER_SHARD, SAMPLE = 64, 40_000
-EF_SEARCH = 16
+#: A dense region is cut into more shards only if a vector of it would be in so many of them on average at most, and if so
+#: many of the nearest pairs of its sample stay together.
+MAX_COPIES, KEPT_PAIRS = 3.0, 0.98
+EF_SEARCH, EF_PIECES = 16, 64
+#: Directions that agree within half of this in every number are copies.
+GRID = 1e-5
 
 
 def unit_rows(lists: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -40,26 +49,40 @@ def unit_rows(lists: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return right, x.astype(np.float32)
 
 
+def _nearest_centre(x: np.ndarray, centres: np.ndarray, rows: int = 4096) -> np.ndarray:
+    return np.concatenate([np.argmax(x[i : i + rows] @ centres.T, axis=1) for i in range(0, len(x), rows)] or [np.zeros(0, np.int64)])
+
+
 def _kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     """k centres of length one by spherical k-means, from rows spread over x."""
     rng = np.random.default_rng(11)
     centres = x[rng.choice(len(x), k, replace=False)]
     for _ in range(rounds):
-        own = np.argmax(x @ centres.T, axis=1)
-        order = np.argsort(own, kind="stable")
+        own = _nearest_centre(x, centres)
         sums = np.zeros_like(centres)
-        np.add.at(sums, own[order], x[order])
-        norm = np.linalg.norm(sums, axis=1)
-        empty = norm == 0
+        np.add.at(sums, own, x)
+        empty = np.linalg.norm(sums, axis=1) == 0
         sums[empty] = x[rng.choice(len(x), int(empty.sum()))]
         centres = sums / np.maximum(np.linalg.norm(sums, axis=1), 1e-9)[:, None]
     return centres.astype(np.float32)
 
 
-def shard_centres(sample: np.ndarray, rows: int, shard: int = SHARD) -> np.ndarray:
+def _kept(x: np.ndarray, row: np.ndarray, to: np.ndarray, shards: int, k: int = 5, asks: int = 500) -> float:
+    """The share of the k nearest of some rows of x that are in a shard with them."""
+    some = np.arange(0, len(x), max(1, len(x) // asks))
+    s = x[some] @ x.T
+    s[np.arange(len(some)), some] = -2
+    near = np.argpartition(-s, k, axis=1)[:, :k] if k < len(x) - 1 else np.argsort(-s, axis=1)[:, : len(x) - 1]
+    held = np.zeros((len(x), shards), bool)
+    held[row, to] = True
+    return float((held[some][:, None, :] & held[near]).any(axis=2).mean())
+
+
+def shard_centres(sample: np.ndarray, rows: int, shard: int = SHARD, reach: float = REACH) -> np.ndarray:
     """Centres so many that each should own about shard of all rows; one that owns far more is divided again.
 
-    A dense region, a third of all vectors near one direction, say, so gets the shards its size calls for.
+    A dense region, a third of all vectors near one direction, say, so gets the shards its size calls for, unless its
+    vectors are so evenly far from each other that centres would part near ones: then it stays whole and is divided by a hash.
     """
     want = max(1, math.ceil(rows / shard))
     if want == 1 or len(sample) < 2:
@@ -67,80 +90,153 @@ def shard_centres(sample: np.ndarray, rows: int, shard: int = SHARD) -> np.ndarr
     todo, done = [(_kmeans(sample, min(want, len(sample))), sample)], []
     while todo:
         centres, x = todo.pop()
-        own = np.argmax(x @ centres.T, axis=1)
+        own = _nearest_centre(x, centres)
         for c in range(len(centres)):
             part = x[own == c]
             parts = math.ceil(len(part) / len(sample) * rows / shard)
-            if parts > 2 and len(part) >= 4 * parts and len(part) < len(x):
-                todo.append((_kmeans(part, parts), part))
-            else:
-                done.append(centres[c])
+            if parts > DIVIDED and len(part) >= 4 * parts and len(part) < len(x):
+                finer = _kmeans(part, parts)
+                row, to = Shards(finer, reach).of(part)
+                if len(row) <= MAX_COPIES * len(part) and _kept(part, row, to, parts) >= KEPT_PAIRS:
+                    todo.append((finer, part))
+                    continue
+            done.append(centres[c])
     return np.stack(done)
 
 
-def shards_of(v: np.ndarray, centres: np.ndarray, margin: float = MARGIN) -> tuple[np.ndarray, np.ndarray]:
-    """(row, shard): each row's nearest centre and all others that are less similar by margin at most."""
-    s = v @ centres.T
-    return np.nonzero(s.max(axis=1, keepdims=True) - s <= margin)
+class Shards:
+    """The centres of all shards in two levels: a vector meets the centres of the groups near it, not all."""
+
+    def __init__(self, centres: np.ndarray, reach: float = REACH) -> None:
+        self.centres, self.reach = centres, reach
+        self.groups = _kmeans(centres, max(1, math.isqrt(len(centres)))) if len(centres) > 3 else centres[:1]
+        own = _nearest_centre(centres, self.groups)
+        self.members = [np.flatnonzero(own == g) for g in range(len(self.groups))]
 
+    def of(self, v: np.ndarray, rows: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+        """(row, shard): each row's nearest centre and all others within reach, in the order of rows."""
+        out = []
+        for at in range(0, len(v), rows):
+            x = v[at : at + rows]
+            far = 1.0 - x @ self.groups.T
+            near = far <= GROUP_REACH * far.min(axis=1, keepdims=True) + 1e-6
+            d = np.full((len(x), len(self.centres)), np.inf, np.float32)
+            for g, members in enumerate(self.members):
+                here = np.flatnonzero(near[:, g]) if len(self.groups) > 1 else np.arange(len(x))
+                if len(here) and len(members):
+                    d[np.ix_(here, members)] = 1.0 - x[here] @ self.centres[members].T
+            row, to = np.nonzero(d <= self.reach * np.maximum(d.min(axis=1, keepdims=True), 1e-6))
+            out.append((row + at, to))
+        return (np.concatenate([r for r, _ in out]), np.concatenate([t for _, t in out])) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-def _vector_key(v: Column) -> list[Column]:
-    """128 bits by which vectors with the same numbers are told."""
-    return [F.xxhash64(v).alias("_h1"), F.xxhash64(F.lit("second"), v).alias("_h2")]
 
+def direction_keys(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits by which equal directions, rounded to GRID, are told: vectors that are multiples of one another are copies."""
+    q = np.rint(v / GRID).astype(np.int64)
+    odd = np.random.default_rng(5).integers(-(2**62), 2**62, (2, v.shape[1])) | 1
+    with np.errstate(over="ignore"):
+        return (q * odd[0]).sum(axis=1), (q * odd[1]).sum(axis=1)
 
-def nearest(units: DataFrame, key: str = "evidence_id", vector: str = "embedding", k: int = K, min_cosine: float = -1.0, dim: int = DIM, shard: int = SHARD, margin: float = MARGIN, ef: int = EF_SEARCH) -> DataFrame:
+
+def _tiles(shard: np.ndarray, own: np.ndarray, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(at, tile, role) for rows of a shard each: where a shard is whole, its one tile; else, for every piece of it, the tile in which
+    the row's own piece is indexed and that piece searches (role 1), and the one that the other way about (role 2); 3 is both."""
+    p = pieces[shard]
+    at = np.repeat(np.arange(len(shard)), p)
+    other = np.arange(len(at)) - np.repeat(np.cumsum(p) - p, p)
+    mine = own[at]
+    tile = lambda i, j: (shard[at].astype(np.int64) << 32) | (i << 16) | j
+    twice = mine != other
+    role = np.where(twice, 1, 3).astype(np.int8)
+    return np.concatenate([at, at[twice]]), np.concatenate([tile(mine, other), tile(other, mine)[twice]]), np.concatenate([role, np.full(int(twice.sum()), 2, np.int8)])
+
+
+def nearest(units: DataFrame, key: str = "evidence_id", vector: str = "embedding", k: int = K, min_cosine: float = -1.0, dim: int = DIM, shard: int = SHARD, reach: float = REACH, ef: int = EF_SEARCH, piece: int | None = None) -> DataFrame:
     """(a, b, cosine): b is among the k most similar of a, itself not counted, and their cosine is min_cosine or more.
 
     Only vectors of dim finite numbers that are not all zero take part. A key's repeated rows count once, with the last
-    loaded vector; null keys are left out. Of equally similar vectors the smaller key comes first. Vectors with the
-    same numbers are indexed once and each takes its own copies first; their pairs come from the k + 1 smallest keys, so
-    a group of copies gives at most k pairs a member.
+    loaded vector; null keys are left out. Of equally similar vectors the smaller key comes first. Vectors of the
+    same direction are indexed once and each takes its own copies first; their pairs come from the k + 1 smallest keys, so
+    a group of copies gives at most k pairs a member. No task holds more than some four times shard vectors, or twice
+    that where it searches one piece of a divided shard for another.
     """
     spark = units.sparkSession
+    piece = piece or PIECE * shard
     rows = units.where(F.size(vector) == dim).select(F.col(key).alias("key"), F.col(vector).alias("v"), *[c for c in units.columns if c == "loaded_at"])
     one = latest(rows if "loaded_at" in rows.columns else rows.withColumn("loaded_at", F.lit(0)), "key").select("key", "v")
-    base = written(one, "vectors")
-    n = base.count()
-    # The sample: rows whose key's hash is small, so it is the same in each run.
+    kind = one.schema["key"].dataType.simpleString()
+
+    def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            right, v = unit_rows(batch.column(1), dim)
+            h1, h2 = direction_keys(v)
+            data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), len(v), [None, pa.py_buffer(np.ascontiguousarray(v))])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(right)), data.cast(pa.binary()), pa.array(h1), pa.array(h2)], ["key", "v", "h1", "h2"])
+
+    base = written(one.mapInArrow(direct, f"key {kind}, v binary, h1 bigint, h2 bigint"), "vectors")
+    groups = base.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("m"), F.min("key").alias("rep")).where("m > 1")
+    copies = written(base.select("key", "h1", "h2").join(groups, ["h1", "h2"]).select("key", "rep", "m"), "copies")
+    any_copies = not copies.isEmpty()
+    index = base.select("key", "v")
+    if any_copies:
+        index = index.join(copies.where("key <> rep").select("key"), "key", "left_anti")
+    n = index.count()
+    # The sample: rows whose key's hash is small, so it is the same in each run; copies count once in it.
     take = min(SAMPLE, max(2000, PER_SHARD * math.ceil(n / shard)))
     part = min(1.0, 1.2 * take / max(n, 1))
-    picked = base.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(part * 1_000_000)).select("v").limit(take).toArrow() if n > shard else base.select("v").limit(1).toArrow()
-    _, x = unit_rows(picked.column(0).combine_chunks() if picked.num_rows else pa.array([], pa.list_(pa.float32())), dim)
-    centres = spark.sparkContext.broadcast(shard_centres(x, n, shard) if len(x) else np.eye(1, dim, dtype=np.float32))
+    picked = index.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(part * 1_000_000)).select("v").limit(take).toArrow() if n > shard else index.select("v").limit(1).toArrow()
+    x = np.frombuffer(b"".join(picked.column("v").to_pylist()), np.float32).reshape(-1, dim)
+    placed = spark.sparkContext.broadcast(Shards(shard_centres(x, n, shard, reach) if len(x) else np.eye(1, dim, dtype=np.float32), reach))
 
-    named = written(base.select("key", *_vector_key(F.col("v"))), "vector-keys")
-    groups = named.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("m"), F.min("key").alias("rep")).where("m > 1")
-    copies = written(named.join(groups, ["_h1", "_h2"]).select("key", "rep", "m"), "copies")
-    index = base.join(copies.where("key <> rep").select("key"), "key", "left_anti")
+    def vectors(batch: pa.RecordBatch) -> np.ndarray:
+        return np.frombuffer(b"".join(batch.column("v").to_pylist()), np.float32).reshape(-1, dim)
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = centres.value
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(placed.value.centres), np.int64)
         for batch in batches:
-            right, v = unit_rows(batch.column(1), dim)
-            keys = batch.column(0).filter(pa.array(right))
-            at, to = shards_of(v, c, margin)
-            data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), len(at), [None, pa.py_buffer(np.ascontiguousarray(v[at]))])
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), keys.take(pa.array(at)), data.cast(pa.binary())], ["shard", "key", "v"])
+            total += np.bincount(placed.value.of(vectors(batch))[1], minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["shard", "n"])
+
+    # One number a shard comes to the driver.
+    pieces = np.ones(len(placed.value.centres), np.int64)
+    if len(pieces) > 1 or n > DIVIDED * shard:
+        for r in index.select("v").mapInArrow(tally, "shard int, n bigint").groupBy("shard").agg(F.sum("n").alias("n")).where(F.col("n") > DIVIDED * shard).collect():
+            pieces[r.shard] = math.ceil(r.n / piece)
 
-    kind = base.schema["key"].dataType.simpleString()
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = vectors(batch)
+            row, to = placed.value.of(v)
+            own = batch.column("h").to_numpy().astype(np.uint64)[row] % pieces[to].astype(np.uint64)
+            at, tile, role = _tiles(to, own.astype(np.int64), pieces)
+            at = row[at]
+            yield pa.RecordBatch.from_arrays([pa.array(tile), pa.array(role), batch.column("key").take(pa.array(at)), batch.column("v").take(pa.array(at))], ["tile", "role", "key", "v"])
 
     def search(group: pa.Table) -> pa.Table:
         # In the order of keys, so that the graph is the same however rows arrive.
         group = group.sort_by("key")
         v = np.frombuffer(b"".join(group.column("v").to_pylist()), np.float32).reshape(-1, dim)
+        role = group.column("role").to_numpy()
+        inside, asks = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
         # Asked for more than k, so that ties at the end can be put in the order of keys.
-        ids, sims = Graph(v).neighbours(k + 2, max(ef, k + 3))
+        if len(inside) == len(v) == len(asks):
+            ids, sims = Graph(v).neighbours(k + 2, max(ef, k + 3))
+        elif len(inside) and len(asks):
+            ids, sims = Graph(np.ascontiguousarray(v[inside])).find(v[asks], k + 2, max(EF_PIECES, k + 3))
+        else:
+            ids = sims = np.zeros((len(asks), 0), np.int64)
         a, b = np.nonzero((ids >= 0) & (sims >= min_cosine - 1e-4))
-        to = ids[a, b]
+        a, to = asks[a], inside[ids[a, b]] if len(inside) else a
         exact = np.einsum("ij,ij->i", v[a].astype(np.float64), v[to].astype(np.float64))
         names = group.column("key").combine_chunks()
         return pa.table([names.take(pa.array(a)), names.take(pa.array(to)), pa.array(exact)], ["a", "b", "cosine"])
 
-    found = index.mapInArrow(route, f"shard int, key {kind}, v binary").groupBy("shard").applyInArrow(search, f"a {kind}, b {kind}, cosine double").where(F.col("cosine") >= min_cosine)
+    routed = index.withColumn("h", F.xxhash64("key")).mapInArrow(route, f"tile bigint, role tinyint, key {kind}, v binary")
+    found = routed.groupBy("tile").applyInArrow(search, f"a {kind}, b {kind}, cosine double").where(F.col("cosine") >= min_cosine)
     # A pair found in several shards counts once; the cosines are equal.
     lists = found.groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("cosine")).alias("far"), "b"))), 1, k + 1).alias("near"))
-    if copies.isEmpty():
+    if not any_copies:
         return lists.select("a", F.inline(F.slice("near", 1, k))).select("a", "b", (-F.col("far")).alias("cosine"))
     return _with_copies(written(lists, "lists"), copies, k)
 

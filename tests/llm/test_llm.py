@@ -110,7 +110,7 @@ def test_neighbours_copies(spark):
 def test_neighbours_sharded_recall(spark):
     x = blobs(1500, 16, 3)
     df = spark.createDataFrame([(f"{i:05d}", x[i].tolist()) for i in range(len(x))], "key string, v array<float>")
-    got = {(int(r.a), int(r.b)) for r in neighbours.nearest(df, "key", "v", k=5, dim=16, shard=300).collect()}
+    got = {(int(r.a), int(r.b)) for r in neighbours.nearest(df, "key", "v", k=5, dim=16, shard=300, reach=1.3).collect()}
     u = x / np.linalg.norm(x, axis=1)[:, None]
     s = u @ u.T
     np.fill_diagonal(s, -2)
@@ -119,13 +119,58 @@ def test_neighbours_sharded_recall(spark):
 
 
 def test_shards_of_a_dense_region():
-    """A third of all vectors near one direction gets about a third of the shards."""
+    """A third of all vectors near one direction gets about a third of the shards if it has parts of its own, and stays whole if not."""
     rng = np.random.default_rng(1)
-    x = np.concatenate([rng.normal(size=(2000, 16)), np.array([5.0] + [0.0] * 15) + 0.05 * rng.normal(size=(1000, 16))]).astype(np.float32)
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    c = neighbours.shard_centres(x, 300_000, 10_000)
-    sizes = np.bincount(np.argmax(x @ c.T, axis=1), minlength=len(c))
-    assert sizes.max() * 100 < 4 * 10_000
+    top = np.array([5.0] + [0.0] * 15)
+    parts = np.repeat(top + 0.3 * rng.normal(size=(50, 16)), 20, axis=0) + 0.01 * rng.normal(size=(1000, 16))
+    for dense, split in ((parts, True), (top + 0.05 * rng.normal(size=(1000, 16)), False)):
+        x = np.concatenate([rng.normal(size=(2000, 16)), dense]).astype(np.float32)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        c = neighbours.shard_centres(x, 300_000, 10_000)
+        sizes = np.bincount(np.argmax(x @ c.T, axis=1), minlength=len(c))
+        assert (sizes.max() * 100 < 4 * 10_000) == split
+
+
+def test_scaled_copies_are_copies(spark):
+    """Multiples of one vector are indexed once, so they make no large shard."""
+    rng = np.random.default_rng(3)
+    one, rest = rng.normal(size=16), rng.normal(size=(40, 16))
+    rows = [(f"s{i:03d}", (one * (0.1 + i)).astype(np.float32).tolist()) for i in range(400)] + [(f"r{i:03d}", r.tolist()) for i, r in enumerate(rest)]
+    got = {}
+    for r in neighbours.nearest(spark.createDataFrame(rows, "key string, v array<float>"), "key", "v", k=3, dim=16, shard=50, min_cosine=0.9).collect():
+        got.setdefault(r.a, []).append(r.b)
+    assert all(len(got[f"s{i:03d}"]) == 3 and all(b[0] == "s" for b in got[f"s{i:03d}"]) for i in range(400))
+    h = neighbours.direction_keys(np.stack([one, one * 7, -one]).astype(np.float32) / np.linalg.norm(one * np.array([[1], [7], [1]]), axis=1)[:, None])[0]
+    assert h[0] == h[1] != h[2]
+
+
+def test_divided_shard_keeps_recall(spark):
+    """A region that no centres part is divided by a hash, and each piece is searched for all."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([np.array([9.0] + [0.0] * 15) + 0.2 * rng.normal(size=(900, 16)), blobs(600, 16, 4)]).astype(np.float32)
+    df = spark.createDataFrame([(f"{i:05d}", x[i].tolist()) for i in range(len(x))], "key string, v array<float>")
+    got = {(int(r.a), int(r.b)) for r in neighbours.nearest(df, "key", "v", k=5, dim=16, shard=60, piece=120).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    want = {(i, int(j)) for i in range(len(x)) for j in np.argpartition(-s[i], 5)[:5]}
+    assert len(got & want) / len(want) > 0.9
+
+
+def test_tiles_pair_every_two_pieces():
+    """Each two rows of a shard meet in exactly one tile with the first indexed and the second searching."""
+    rng = np.random.default_rng(2)
+    pieces = np.array([1, 3, 2])
+    shard = rng.integers(0, 3, 60)
+    own = rng.integers(0, 99, 60) % pieces[shard]
+    at, tile, role = neighbours._tiles(shard, own, pieces)
+    met = {}
+    for t in np.unique(tile):
+        i, j = at[(tile == t) & (role & 1 > 0)], at[(tile == t) & (role & 2 > 0)]
+        for a in i:
+            for b in j:
+                met[a, b] = met.get((a, b), 0) + 1
+    assert set(met.values()) == {1} and set(met) == {(a, b) for a in range(60) for b in range(60) if shard[a] == shard[b]}
 
 
 # 3 ---------------------------------------------------------------------------------------------------------------
