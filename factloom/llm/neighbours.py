@@ -17,13 +17,13 @@ from .hnsw import Graph
 K, MIN_COSINE, DIM = 10, 0.75, 128
 #: Vectors a shard should hold. A vector is indexed in its nearest shard and in every other to whose centre its distance
 #: (one less the cosine) is REACH times that to the nearest at most; it is found, and searches, in all of them.
-SHARD, REACH = 4096, 1.1
+SHARD, REACH = 2048, 1.08
 #: A shard of more than DIVIDED times SHARD vectors is divided by a hash of the keys, each piece searched for all its vectors.
 DIVIDED, PIECE = 2, 8
 #: Centres are arranged in groups; those of a group are looked at where its own centre is within so many times the nearest group's distance.
 GROUP_REACH = 1.5
 #: The centroids that shards are made by are fitted on a sample of so many vectors a shard, in all at most SAMPLE.
-PER_SHARD, SAMPLE = 64, 40_000
+PER_SHARD, SAMPLE = 64, 100_000
 #: A dense region is cut into more shards only if a vector of it would be in so many of them on average at most, and if so
 #: many of the nearest pairs of its sample stay together.
 MAX_COPIES, KEPT_PAIRS = 3.0, 0.98
@@ -67,19 +67,20 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centres.astype(np.float32)
 
 
-def _kept(x: np.ndarray, row: np.ndarray, to: np.ndarray, shards: int, k: int = 5, asks: int = 500) -> float:
-    """The share of the k nearest of some rows of x that are in a shard with them."""
+def _kept(x: np.ndarray, row: np.ndarray, to: np.ndarray, shards: int, least: float, k: int = 5, asks: int = 500) -> float:
+    """The share of the k nearest of some rows of x, of a similarity of least or more, that are in a shard with them."""
     some = np.arange(0, len(x), max(1, len(x) // asks))
     s = x[some] @ x.T
     s[np.arange(len(some)), some] = -2
     near = np.argpartition(-s, k, axis=1)[:, :k] if k < len(x) - 1 else np.argsort(-s, axis=1)[:, : len(x) - 1]
     held = np.zeros((len(x), shards), bool)
     held[row, to] = True
-    return float((held[some][:, None, :] & held[near]).any(axis=2).mean())
+    together = (held[some][:, None, :] & held[near]).any(axis=2)[np.take_along_axis(s, near, 1) >= least]
+    return float(together.mean()) if len(together) else 1.0
 
 
-def shard_centres(sample: np.ndarray, rows: int, shard: int = SHARD, reach: float = REACH) -> np.ndarray:
-    """Centres so many that each should own about shard of all rows; one that owns far more is divided again.
+def shard_centres(sample: np.ndarray, rows: int, shard: int = SHARD, reach: float = REACH, least: float = -1.0) -> np.ndarray:
+    """Centres so many that each should own about shard of all rows: few first, and those that own far more are divided again.
 
     A dense region, a third of all vectors near one direction, say, so gets the shards its size calls for, unless its
     vectors are so evenly far from each other that centres would part near ones: then it stays whole and is divided by a hash.
@@ -87,7 +88,7 @@ def shard_centres(sample: np.ndarray, rows: int, shard: int = SHARD, reach: floa
     want = max(1, math.ceil(rows / shard))
     if want == 1 or len(sample) < 2:
         return sample[:1] if len(sample) else np.zeros((1, DIM), np.float32)
-    todo, done = [(_kmeans(sample, min(want, len(sample))), sample)], []
+    todo, done = [(_kmeans(sample, min(max(2, math.isqrt(want)), len(sample))), sample)], []
     while todo:
         centres, x = todo.pop()
         own = _nearest_centre(x, centres)
@@ -97,7 +98,7 @@ def shard_centres(sample: np.ndarray, rows: int, shard: int = SHARD, reach: floa
             if parts > DIVIDED and len(part) >= 4 * parts and len(part) < len(x):
                 finer = _kmeans(part, parts)
                 row, to = Shards(finer, reach).of(part)
-                if len(row) <= MAX_COPIES * len(part) and _kept(part, row, to, parts) >= KEPT_PAIRS:
+                if len(row) <= MAX_COPIES * len(part) and _kept(part, row, to, parts, least) >= KEPT_PAIRS:
                     todo.append((finer, part))
                     continue
             done.append(centres[c])
@@ -186,7 +187,7 @@ def nearest(units: DataFrame, key: str = "evidence_id", vector: str = "embedding
     part = min(1.0, 1.2 * take / max(n, 1))
     picked = index.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(part * 1_000_000)).select("v").limit(take).toArrow() if n > shard else index.select("v").limit(1).toArrow()
     x = np.frombuffer(b"".join(picked.column("v").to_pylist()), np.float32).reshape(-1, dim)
-    placed = spark.sparkContext.broadcast(Shards(shard_centres(x, n, shard, reach) if len(x) else np.eye(1, dim, dtype=np.float32), reach))
+    placed = spark.sparkContext.broadcast(Shards(shard_centres(x, n, shard, reach, min_cosine) if len(x) else np.eye(1, dim, dtype=np.float32), reach))
 
     def vectors(batch: pa.RecordBatch) -> np.ndarray:
         return np.frombuffer(b"".join(batch.column("v").to_pylist()), np.float32).reshape(-1, dim)
