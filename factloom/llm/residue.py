@@ -1,32 +1,50 @@
-"""Template residue, filler text and error pages: positive-unlabelled naive Bayes by expectation-maximization."""
+"""Template residue, filler text and error pages: positive-unlabelled naive Bayes by expectation-maximization.
+
+Two models of one kind. Passages (sentences and lines) are scored as filler and as error by their words and pairs of
+words; occurrences of placeholder forms are scored as left behind by what stands in them and beside them. Each
+starts from trusted records, takes every other passage or occurrence of all documents as unlabelled, and is
+reweighed by the posterior of the round before. Without trusted records nothing is found.
+"""
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
+import unicodedata
+import zlib
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the sample the model is fitted on: trusted records of each kind and unlabelled documents, and the
-#: characters a document of the sample may have. Scoring covers every document whole.
-TRUSTED, UNLABELLED, SAMPLE_CHARS = 3000, 2500, 20_000
-#: Rounds of expectation-maximization, and the least log-odds of a placeholder, a filler passage and an error passage.
-ROUNDS, MIN_PLACEHOLDER, MIN_FILLER, MIN_ERROR = 3, 3.0, 10.0, 15.0
-#: A passage is a real sentence only with so many words.
-REAL_WORDS = 5
-
-#: Count added to each feature in each class, and counts that every plain form of a placeholder starts with.
-SMOOTH, SURE = 0.05, 5
-#: A passage whose words alone score below this is real; its pairs of words are not looked at.
-CLEAR = -8.0
+from ..session import written
+
+#: Features are counted by a hash of so many bits: the model's size is bounded whatever the corpus.
+BITS, FORM_BITS = 20, 16
+#: What the words beside a form count for together at most.
+MOST_BESIDE = 8.0
+#: A feature of a form says something if it was met so often.
+MIN_MET = 6
+#: Rounds of expectation-maximization over passages and over forms.
+ROUNDS, FORM_ROUNDS, CONTEXT_ROUNDS = 2, 8, 2
+#: Least log-odds of a placeholder, a filler passage and an error record; those of one feature count up to MOST.
+MIN_PLACEHOLDER, MIN_FILLER, MIN_ERROR, MOST = 0.5, 10.0, 12.0, 6.0
+#: Share of a notice's pairs of words that speak for one.
+ALIKE = 0.55
+#: A passage is a real sentence only with so many words, and real without a closing mark with so many.
+REAL_WORDS, LONG_WORDS = 5, 14
+#: Counts of usual features added to each class; a feature counts if it was met twice or in a trusted passage.
+SMOOTH = 50.0
+#: Trusted errors have so many characters at most: they hold the notice and little else. Trusted templates have so many forms at least.
+TRUSTED_CHARS, TRUSTED_FORMS = 260, 3
+#: Characters handled at a time.
+CHUNK = 1_000_000
 
 REAL, FILLER, ERROR = 0, 1, 2
 
-# The forms of unfilled placeholders; each becomes one token.
+# The forms placeholders are written in. Whether an occurrence is one is learnt.
 FORMS = {
     "braces2": r"\{\{[^{}\n]{1,60}\}\}",
     "block": r"\{%[^%\n]{1,60}%\}",
@@ -35,203 +53,448 @@ FORMS = {
     "at": r"@@\w{1,60}@@",
     "percent": r"%[A-Za-z]\w{1,60}%",
     "square2": r"\[\[[^\[\]\n]{1,60}\]\]",
-    "guillemets": r"«\w{1,60}»",
+    "guillemets": r"«[^\W\d][\w .-]{0,60}»",
     "angle2": r"<<[^<>\n]{1,60}>>",
+    "angle": r"<[A-Za-z][\w .-]{1,60}>",
     "brace": r"\{\w{1,60}\}",
     "underlines": r"__[A-Za-z]\w{1,60}?__",
-    "ask": r"[(\[<](?:insert|enter|type|add|your|please (?:insert|enter)|to be|name of)\b[^()\[\]<>\n]{0,60}[)\]>]|\[[^\[\]\n]{0,40}\b(?:einfügen|ausfüllen|ergänzen|compléter|remplir|insérer|completar|rellenar|insertar)\b[^\[\]\n]{0,40}\]",
+    "round": r"\((?:insert|enter|type|add|your|please (?:insert|enter)|to be|name of)\b[^()\n]{0,60}\)",
     "bullet": r"\[[•●]\]",
     "bracket": r"\[[^\W\d][^\[\]\n]{2,60}\]",
     "cell": r"#(?:REF!|N/A|NAME\?|VALUE!|DIV/0!)",
-    "note": r"\b(?:FIXME|TODO|TBD|TBC|XXX)\b:?",
+    "note": r"\b(?:FIXME|TODO|TBD|TBC|XXX)\b(?::[ \t]?\w+)?",
     "exes": r"\bX{1,4}[.,]X{1,4}(?:\s?%)?",
 }
 #: Text in quotation marks is quoted, not left behind.
 _QUOTED = r"“[^”]{1,120}”|„[^“”]{1,120}[“”]|(?<![:{,] )(?<![{:,\w])\"[^\"\n:]{1,120}\"(?!\s*:)"
-#: A word: a letter, and letters, digits and the marks that follow them, Devanagari signs included.
-_INNER = r"[\w\u0300-\u036f\u0900-\u0903\u093a-\u094f\u0951-\u0957\u0962\u0963]"
-_WORD = rf"[^\W\d_]{_INNER}*(?:['’]{_INNER}+)?"
-_TOKEN = re.compile("|".join([f"(?P<quoted>{_QUOTED})", *(f"(?P<{n}>{p})" for n, p in FORMS.items()), r"(?P<number>\d[\d.,]*)", f"(?P<word>{_WORD})"]))
-_PASSAGES = re.compile(r"(?<=[.!?।])[\"”)]*\s+|\n+")
-#: Lines of one word, broken off from the next line.
-_BROKEN = re.compile(r"(?m)^(\S{1,40})\r?\n(?=\S)")
-_ENDS = (".", "!", "?", "।", "…", ":", ";")
+_ALL_FORMS = re.compile("|".join(f"(?P<{n}>{p})" for n, p in FORMS.items()))
+_QUOTES = re.compile(_QUOTED)
+#: What a text must hold for any form or quotation to stand in it.
+_SIGNS = re.compile(r"[{}<>\[\]@«#“„\"]|__|%(?=[A-Za-z])|\((?=[ietaypn])|\b(?:FIXME|TODO|TB[DC]|XX)|\bX{1,4}[.,]X")
+SIGNS = r"[{}<>\[\]@«#]|__|%[A-Za-z]|\((?:insert|enter|type|add|your|please|to be|name of)\b|\b(?:FIXME|TODO|TB[DC]|XX)|\bX{1,4}[.,]X"
+# Words by which a sentence says that it names a form.
+MENTION = {"field", "fields", "placeholder", "placeholders", "variable", "variables", "template", "templates", "token", "tokens", "tag", "tags", "syntax", "literal", "write", "written", "called", "named", "string", "print", "prints", "printed", "layout"}
+#: Stand in a text for a form and for a quotation.
+_FORM, _QUOTE = "", ""
+
+# Notices by which a short record is trusted to be an error page or a demand for scripts, cookies or a check.
+ERROR_SEEDS = "not found on this server|[345][0-9]{2} (not found|forbidden|bad gateway|service unavailable)|(^|\\n)(http )?error:? [345][0-9]{2}|internal (server )?error|access denied|lack permission|traceback \\(most recent|nullpointerexception|keyerror|\"error\": |connection refused|request timed out|too many requests|session has expired|requested url was rejected|verify that you are human|checking your browser|browser is not supported|ad blocker detected|(enable|allow|activate|permit|switch on) (javascript|scripts|active content|cookies)|javascript is turned off|turn js on|(needs|without) script(s|ing)|script support|scripts may be blocked|accept cookies|(could not|cannot) (be (opened|displayed|loaded)|connect)|failed to load|is damaged|was not found|does not exist|no longer (here|available)|moved or deleted|can.t find the|page (is|was) (gone|removed)|resource removed|something (went wrong|broke)|offline for maintenance|try (again )?later|seite nicht gefunden|(^|\\n)erreur [345][0-9]{2}|veuillez activer|bitte aktivieren sie javascript|active javascript en|p.gina no disponible|जावास्क्रिप्ट चालू|पृष्ठ नहीं मिला"
+# Filler by which a passage is trusted.
+FILLER_SEEDS = "lorem ipsum|foo bar|blah blah|bla bla|text goes here|your text here|texto de relleno|texte provisoire|hier steht ein beispieltext|this is a sample paragraph|dummy paragraph|click here to edit|add your (?:summary|text)|sample caption|body copy|यहाँ नमूना"
+_SEEDS = {ERROR: re.compile(ERROR_SEEDS), FILLER: re.compile("^(?:" + FILLER_SEEDS + ")")}
 #: Keys struck at random: words of one row of the keyboard alone, or without a vowel for long.
-_STRUCK = re.compile(r"[asdfghjkl]{3,}|[zxcvbnm]{3,}|[bcdfghjklmnpqrstvwxz]{3,}|.*[bcdfghjklmnpqrstvwxz]{6}.*")
-
-# Records that hold these and little else are trusted to be errors or notices.
-ERROR_SEEDS = "404 not found|not found on this server|502 bad gateway|http error [0-9]{3}|internal error while|access denied.you lack|traceback \\(most recent|nullpointerexception|connection refused|request timed out|too many requests from|session has expired|verify that you are human|browser is not supported|(enable|allow|activate) javascript|javascript is turned off|please accept cookies|allow cookies and|ad blocker detected|requested url was rejected|error 403|seite nicht gefunden|erreur 403|veuillez activer|bitte aktivieren sie javascript|active javascript en|p.gina no disponible|temporarily offline for maintenance|please try later|जावास्क्रिप्ट चालू|पृष्ठ नहीं मिला|script support|scripts may be blocked|\"error\": |checking your browser|something broke on our side|file is damaged|right now|could not be opened|failed to load|any more|could not connect|needs scripting|cannot start without scripts|(permit|allow|activate) active content|switch on scripts|turn js on|keyerror|resource removed|lack permission|return to the index|can.t find the|moved or deleted|no longer (here|available)|page (is|was) (gone|removed)"
-# Records that begin a passage with these are trusted to be filler.
-FILLER_SEEDS = "(^|\\n)(lorem ipsum|foo bar|blah blah|bla bla|text goes here|your text here|texto de relleno|texte provisoire|hier steht ein beispieltext|this is a sample paragraph|dummy paragraph|click here to edit|add your summary in this|sample caption|यहाँ नमूना)"
-_SEEDS = {ERROR: re.compile(ERROR_SEEDS), FILLER: re.compile(FILLER_SEEDS)}
-TRUSTED_CHARS = 1200
-
-
-#: What a passage must hold for any form or quotation to stand in it.
-_SIGNS = re.compile(r"[{}<>\[\]@«#_“„\"]|%(?=[A-Za-z])|\((?=[ietaypn])")
-_NOTES = ("FIXME", "TODO", "TB", "XX", "X.", "X,")
-_PLAIN = re.compile(rf"\d[\d.,]*|{_WORD}")
-_DIGITS = re.compile(r"\d+")
-
-
-class _Words(dict):
-    """The token of each word met, kept up to a bound."""
-
-    def __missing__(self, word: str) -> str:
-        token = "0" if word[0].isdigit() else "⟦struck⟧" if _STRUCK.fullmatch(word) else _DIGITS.sub("0", word)
-        if len(self) < 500_000:
-            self[word] = token
-        return token
-
-
-_WORDS = _Words()
-
-
-def tokens_of(passage: str) -> tuple[list[str], list[str]]:
-    """Words in lower case with forms and quotations as single tokens, and the forms alone. Digits are one token."""
-    if not _SIGNS.search(passage) and not any(n in passage for n in _NOTES):
-        return list(map(_WORDS.__getitem__, _PLAIN.findall(passage.lower()))), []
-    tokens, forms = [], []
-    for m in _TOKEN.finditer(passage):
-        kind = m.lastgroup
-        if kind in ("word", "number"):
-            tokens.append(_WORDS[m[0].lower()])
-        elif kind == "quoted":
-            tokens.append("⟦quoted⟧")
-        else:
-            # What stands in single brackets or after a note's word counts as it is, unless it is all capitals.
-            form = f"⟦{m[0].lower()}⟧" if kind == "bracket" and not m[0].isupper() or kind == "note" else f"⟦{kind}⟧"
-            tokens.append(form)
-            forms.append(form)
-    return tokens, forms
-
-
-def features(tokens: list[str]) -> list[str]:
-    return tokens + [f"{a} {b}" for a, b in zip(tokens, tokens[1:], strict=False)]
+_HOME, _BOTTOM, _CONSONANTS = "asdfghjkl", "zxcvbnm", "bcdfghjklmnpqrstvwxz"
 
+_LETTER, _DIGIT, _MARK, _SPACE, _LINE, _END, _CLOSE = 1, 2, 3, 4, 5, 6, 7
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
-def passages_of(text: str) -> list[str]:
-    return [p for p in (x.strip() for x in _PASSAGES.split(_BROKEN.sub(r"\1 ", text))) if p]
 
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each character of the basic plane: its class, its lower case (digits are one), and its bits as a struck key."""
+    kind, low, keys = np.zeros(65536, np.uint8), np.arange(65536, dtype=np.uint32), np.zeros(65536, np.uint8)
+    for i in range(65536):
+        c = chr(i)
+        if 0xD800 <= i < 0xE000:
+            continue
+        if c in (_FORM, _QUOTE) or c.isalpha():
+            kind[i] = _LETTER
+        elif c.isdigit():
+            kind[i], low[i] = _DIGIT, 48
+        elif unicodedata.category(c) in ("Mn", "Mc"):
+            kind[i] = _MARK
+        elif c.isspace():
+            kind[i] = _SPACE
+        lower = c.lower()
+        if len(lower) == 1 and kind[i] == _LETTER and ord(lower) < 65536:
+            low[i] = ord(lower)
+    kind[10] = _LINE
+    for chars, k in ((".!?।", _END), ("\"”)", _CLOSE)):
+        for c in chars:
+            kind[ord(c)] = k
+    for bit, chars in ((1, _HOME), (2, _BOTTOM), (4, _CONSONANTS)):
+        for c in chars:
+            keys[ord(c)] |= bit
+    return kind, low, keys
+
+
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2^64."""
+    inverse = np.uint64(pow(int(_MULTIPLIER), -1, 2**64))
+    ones = np.ones(n, np.uint64)
+    up, down = ones.copy(), ones.copy()
+    up[1:], down[1:] = _MULTIPLIER, inverse
+    return np.cumprod(up), np.cumprod(down)
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+class Passages:
+    """The passages of some texts in flat arrays: of each its document, counts and flags, of each token its feature and passage.
+
+    Passages end with a line or after a mark that closes a sentence; lines of one word go on in the next. Tokens are
+    words in lower case, numbers, struck keys, forms and quotations; features are tokens and pairs of neighbouring ones.
+    """
 
-def fit(trusted: list[tuple[int, str]], unlabelled: list[str], rounds: int = ROUNDS) -> list[dict[str, float]]:
-    """Log-odds of each feature against real content, for filler and for errors.
+    def __init__(self, texts: list[str]) -> None:
+        kind, low, keys = _tables()
+        joined = "\n".join(texts) + "\n"
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = len(codes)
+        c = np.minimum(codes, 65535)
+        k, lower = kind[c], np.where(codes < 65536, low[c], codes).astype(np.uint64)
+        ends = np.cumsum([len(t) + 1 for t in texts]) - 1  # each text's closing line feed
+        inner = (k >= _LETTER) & (k <= _MARK)
+        edge = np.diff(np.concatenate([[0], inner.view(np.int8), [0]]))
+        start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        # Boundaries: line feeds, and white space after a closing mark.
+        blank = (k == _SPACE) | (k == _LINE)
+        last = lambda m, by: np.concatenate([np.zeros(by, bool), m[:-by]])
+        end, close = k == _END, k == _CLOSE
+        closed = end | (close & (last(end, 1) | last(close, 1) & last(end, 2)))
+        cut = (k == _LINE) | (k == _SPACE) & last(closed, 1)
+        feeds = np.flatnonzero(k == _LINE)
+        begin = np.concatenate([[0], feeds[:-1] + 1])
+        spaces = np.concatenate([[0], np.cumsum(blank & (codes != 13))])
+        width = feeds - begin
+        follow = np.concatenate([blank[1:], [True]])[feeds]
+        broken = (spaces[feeds] == spaces[begin]) & (width >= 1) & (width <= 41) & ~follow
+        cut[feeds[broken]] = False
+        cut[ends] = True
+        place = np.cumsum(cut) - cut  # passage of each character; the cutting one ends it
+        number = np.concatenate([[0], np.cumsum(k == _DIGIT)])
+        is_number = (number[stop] - number[start]) == stop - start
+        # Groups and decimals of one number are one token.
+        joins = np.zeros(len(start), bool)
+        if len(start) > 1:
+            gap = np.minimum(stop[:-1], n - 1)
+            joins[1:] = is_number[1:] & is_number[:-1] & (start[1:] - stop[:-1] == 1) & ((codes[gap] == 44) | (codes[gap] == 46))
+        start, stop, is_number = start[~joins], stop[~joins], is_number[~joins]
+        up, down = _powers(1 << max(20, int(n).bit_length()))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((lower + np.uint64(1)) * up[:n], dtype=np.uint64)])
+        h = _mix((sums[stop] - sums[start]) * down[start])
+        h[is_number] = np.uint64(3)
+        h[self._struck(keys[c], start, stop)] = np.uint64(5)
+        mark = np.where(stop - start == 1, codes[start], 0)
+        form, quote = mark == ord(_FORM), mark == ord(_QUOTE)
+        # Only passages with tokens count; they are numbered anew.
+        ids, p = np.unique(place[start], return_inverse=True)
+        self.n, self.token, self.passage = len(ids), (_mix(h) >> np.uint64(64 - BITS)).astype(np.int64), p
+        pair = np.flatnonzero(p[1:] == p[:-1]) if len(p) else np.zeros(0, np.int64)
+        both = _mix(h[pair] * np.uint64(0xD6E8FEB86659FD93) + h[pair + 1]) >> np.uint64(64 - BITS)
+        self.feature = np.concatenate([self.token, both.astype(np.int64)])
+        self.of = np.concatenate([p, p[pair]])
+        count = lambda m: np.bincount(p, weights=m, minlength=self.n)
+        self.tokens, self.words, self.numbers = np.bincount(p, minlength=self.n), count(~is_number & ~form & ~quote), count(is_number)
+        first = np.full(self.n, n)
+        np.minimum.at(first, p, start)
+        self.doc = np.searchsorted(ends, first, side="left")
+        # The closing character of each passage, spaces aside, and whether it has the bar of a table's row.
+        cuts = np.flatnonzero(cut)
+        seen = np.maximum.accumulate(np.where(blank, -1, np.arange(n)))
+        closing = np.maximum(seen[cuts[ids]], 0)
+        self.ended = closed[closing] | np.isin(codes[closing], [ord(x) for x in "…:;"])
+        bars = np.concatenate([[0], np.cumsum(codes == ord("|"))])
+        since = np.concatenate([[0], cuts[:-1] + 1])[ids]
+        self.barred = bars[cuts[ids] + 1] > bars[since]
+        self.spans = (since, cuts[ids])
+        self._joined = joined
+
+    @staticmethod
+    def _struck(keys: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        size = stop - start
+        out = np.zeros(len(start), bool)
+        for bit in (1, 2, 4):
+            total = np.concatenate([[0], np.cumsum(keys & bit > 0)])
+            out |= (total[stop] - total[start] == size) & (size >= 3)
+        run = (keys & 4) > 0
+        six = run.copy()
+        for by in range(1, 6):
+            six &= np.concatenate([np.zeros(by, bool), run[:-by]]) if len(run) > by else False
+        total = np.concatenate([[0], np.cumsum(six)])
+        # A run of six consonants within a word of ASCII letters.
+        return out | ((total[stop] - total[np.minimum(start + 5, stop)]) > 0)
+
+    def text(self, i: int) -> str:
+        return self._joined[self.spans[0][i] : self.spans[1][i] + 1].strip()
+
+    def score(self, odds: np.ndarray) -> np.ndarray:
+        return np.bincount(self.of, weights=odds[self.feature], minlength=self.n)
+
+
+def plain_forms(text: str) -> str:
+    """The text with a sign for each form but those in brackets or after a note's word, and one for each quotation."""
+    if not _SIGNS.search(text):
+        return text
+    text = _QUOTES.sub(f" {_QUOTE} ", text)
+    return _ALL_FORMS.sub(lambda m: m[0] if m.lastgroup in ("bracket", "note", "round", "angle") else f" {_FORM} ", text)
+
+
+def _bucket(feature: str) -> int:
+    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) >> (32 - FORM_BITS)
+
+
+def occurrences(text: str) -> list[tuple[str, list[str], list[str]]]:
+    """(feature of the manner, words in it, words beside it) of each form in a text; open or quoted, and its kind, is the manner."""
+    out = []
+    spans = [m.span() for m in _QUOTES.finditer(text)]
+    found = list(_ALL_FORMS.finditer(text))
+    # Beside a form stand the words of its line, other forms aside.
+    for m in found:
+        a, b = m.span()
+        inner = sorted({"0" if w.isdigit() else w.lower() for w in re.findall(r"[A-Z]?[^\W\d_A-Z]+|[A-Z]+|\d+", m[0])})
+        head = _ALL_FORMS.sub(" ", text[max(text.rfind("\n", 0, a) + 1, a - 60) : a])
+        end = text.find("\n", b)
+        tail = _ALL_FORMS.sub(" ", text[b : min(end if end >= 0 else len(text), b + 60)])
+        near = [w.lower() for w in (re.findall(r"[^\W\d_]+|[:,]", head)[-5:] + re.findall(r"[^\W\d_]+|[:,]", tail)[:5])]
+        quoted = any(i <= a and b <= j for i, j in spans)
+        beside = sorted(set(near)) + (["⟦mention⟧"] if MENTION & set(near) else [])
+        out.append((("quoted " if quoted else "open ") + m.lastgroup, inner[:8], beside))
+    return out
+
+
+def is_template(text: str) -> bool:
+    """Trusted: three lines in four or more hold a form outside of quotations, and TRUSTED_FORMS of them at least do."""
+    lines = [x for x in _QUOTES.sub(" ", text).split("\n") if x.strip()]
+    held = sum(bool(_ALL_FORMS.search(x)) for x in lines)
+    return held >= TRUSTED_FORMS and 4 * held >= 3 * len(lines)
+
+
+def _log_odds(left: np.ndarray, real: np.ndarray, n_left: float, n_real: float) -> np.ndarray:
+    return np.log((left + 0.5) / (n_left + 1.0)) - np.log((real + 0.5) / (n_real + 1.0))
+
+
+class FormModel:
+    """Log-odds of what stands in and beside a form, and of its manner, for a placeholder left behind against other uses."""
+
+    #: Where words in a form go that no trusted record has in one, and where the share of each class is kept.
+    OTHER = 1 << FORM_BITS
+
+    def __init__(self, known: np.ndarray, odds: np.ndarray | None = None, context: bool = False, prior: float = 0.0) -> None:
+        self.known, self.odds, self.context, self.prior = known, odds, context, prior
+
+    def slots(self, manner: int, inner: list[int], beside: list[int]) -> list[int]:
+        return [manner, *{w if self.known[w] else self.OTHER for w in inner}, *beside]
+
+    def score(self, manner: int, inner: list[int], beside: list[int]) -> float:
+        """Log-odds that a form was left behind, the share of such forms included."""
+        if self.odds is None:
+            return -np.inf
+        about = float(np.clip(self.odds[beside].sum(), -MOST_BESIDE, MOST_BESIDE)) if self.context and beside else 0.0
+        return float(self.odds[self.slots(manner, inner, [])].sum()) + about + self.prior
+
+
+def _forms_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, trusted, manner, inner, beside): a row for each form of all documents, features by their hash; written.
+
+    trusted: true in a template, false in quotation marks, else null.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    The passages that make a record trusted keep its class. Its other ones begin as half of its class, those of
-    unlabelled documents as real, and both are reweighed in each round by the posterior of the model before, less the margins of the decisions.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, rows = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                found = occurrences(text)
+                trusted = bool(found) and is_template(text)
+                for manner, inner, beside in found:
+                    ids.append(i)
+                    rows.append({"trusted": True if trusted and manner[0] == "o" else False if manner[0] == "q" else None, "manner": _bucket(manner), "inner": [_bucket(f"in {w}") for w in inner], "beside": [_bucket(f"by {w}") for w in beside]})
+            schema = pa.schema([("trusted", pa.bool_()), ("manner", pa.int32()), ("inner", pa.list_(pa.int32())), ("beside", pa.list_(pa.int32()))])
+            t = pa.RecordBatch.from_pylist(rows, schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), *t.columns], ["doc_id", *schema.names])
+
+    return written(docs.where(F.col("text").rlike(SIGNS)).mapInArrow(run, f"doc_id {kind}, trusted boolean, manner int, inner array<int>, beside array<int>"), "forms")
+
+
+def fit_forms(table: DataFrame, rounds: int = FORM_ROUNDS, context_rounds: int = CONTEXT_ROUNDS) -> FormModel:
+    """The model of forms, by expectation-maximization over all forms of all documents.
+
+    The forms of trusted templates are placeholders, quoted ones are not; all others are unlabelled and begin as other uses. The first rounds know
+    manner and words in the form only, as templates have no text beside them; what stands beside is learnt after them from
+    the posterior. Only counts by hashed feature come to the driver.
+    """
+    size = FormModel.OTHER + 1
+    inner = table.where("trusted").select(F.explode(F.array_distinct("inner")).alias("f")).groupBy("f").count().where("count > 1").collect()
+    known = np.zeros(size, bool)
+    known[[r.f for r in inner]] = True
+    model = FormModel(known)
+    if not inner:
+        return model
+    for step in range(rounds + context_rounds):
+        now = model
+
+        def tally(batches: Iterator[pa.RecordBatch], now: FormModel = now) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((2, 2 * size + 1))
+            for batch in batches:
+                for r in batch.to_pylist():
+                    w = float(r["trusted"]) if r["trusted"] is not None else 0.0 if now.odds is None else 1.0 / (1.0 + np.exp(-np.clip(now.score(r["manner"], r["inner"], r["beside"]), -30, 30)))
+                    at = [*now.slots(r["manner"], r["inner"], r["beside"]), size, *(size + 1 + f for f in set(r["inner"]))]
+                    total[1, at] += w
+                    total[0, at] += 1.0 - w
+            at = np.flatnonzero(total.any(axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[0, at]), pa.array(total[1, at])], ["f", "real", "left"])
+
+        rows = table.mapInArrow(tally, "f int, real double, left double").groupBy("f").agg(F.sum("real").alias("real"), F.sum("left").alias("left")).toArrow()
+        counts = np.zeros((2, 2 * size + 1))
+        counts[:, rows.column("f").to_numpy()] = [rows.column("real").to_numpy(), rows.column("left").to_numpy()]
+        words = counts[:, size + 1 :]
+        n_real, n_left = counts[:, size]
+        # What was hardly met says nothing.
+        met = counts[:, :size].sum(axis=0) >= MIN_MET
+        met[FormModel.OTHER] = True
+        odds = np.where(met, np.clip(_log_odds(counts[1, :size], counts[0, :size], n_left, n_real), -MOST, MOST), 0.0)
+        if step >= 2:
+            # Words that stand in forms left behind elsewhere are known in all.
+            known = known | (words[1] >= 2) & (words[1] > words[0])
+        model = FormModel(known, odds, step >= rounds, float(np.log((n_left + 1) / (n_real + 1))))
+    return model
+
+
+def _hinted(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and which seeds a text holds: trusted passages are looked for only there."""
+    low = F.lower("text")
+    hint = F.when((F.length("text") <= TRUSTED_CHARS) & ~F.contains("text", F.lit("“")) & low.rlike("(?s)" + ERROR_SEEDS), ERROR).when(low.rlike("(?:" + FILLER_SEEDS + ")"), FILLER).otherwise(REAL)
+    return docs.where(F.trim("text") != "").select("doc_id", "text", hint.alias("hint"))
+
+
+def _chunks(texts: list[str], size: int = CHUNK) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of about so many characters together, a longer text alone, with the place of the first."""
+    at, part, n = 0, [], 0
+    for i, t in enumerate(texts):
+        if part and n + len(t) > size:
+            yield at, part
+            at, part, n = i, [], 0
+        part.append(t)
+        n += len(t)
+    if part:
+        yield at, part
+
+
+def _trusted(p: Passages, hint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each trusted passage, else -1; weights (n, 3) that each passage begins with)."""
+    known, weight = np.full(p.n, -1), np.tile([1.0, 0.0, 0.0], (p.n, 1))
+    of = hint[p.doc]
+    for k in (ERROR, FILLER):
+        for i in np.flatnonzero(of == k).tolist():
+            if _SEEDS[k].search(p.text(i).lower()):
+                known[i] = k
+    # A trusted error is short: its other passages are as likely to be of it as real.
+    weight[of == ERROR] = [0.5, 0.0, 0.5]
+    weight[known >= 0] = np.eye(3)[known[known >= 0]]
+    return known, weight
+
+
+def fit(docs: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
+    """(2, 2^BITS): log-odds of each feature against real content, for filler and for errors; from all passages of all documents.
+
+    Trusted passages keep their class. All others are reweighed in each round by the posterior of the model before, less the
+    margins of the decisions. Each round is one pass over the texts; only counts by hashed feature come to the driver.
     """
-    known, open_, weight = [], [], []
-    for k, t in trusted:
-        for p in passages_of(t):
-            tokens, forms = tokens_of(p)
-            if (_SEEDS[k].search(p.lower()) or k == FILLER and forms) and tokens:
-                known.append((k, features(tokens)))
-            else:
-                open_.append(features(tokens))
-                weight.append((0.5, 0.5 * (k == FILLER), 0.5 * (k == ERROR)))
-    for t in unlabelled:
-        for p in passages_of(t):
-            open_.append(features(tokens_of(p)[0]))
-            weight.append((1.0, 0.0, 0.0))
-    # Each form whose meaning is plain stands for some trusted records, so that rare ones are known in any sample.
-    fixed = [Counter(), Counter({f"⟦{f}⟧": SURE for f in FORMS if f != "note"}), Counter()]
-    for k, fs in known:
-        fixed[k].update(fs)
-    odds: list[dict[str, float]] = [{}, {}]
-    for _ in range(rounds):
-        counts = [dict(c) for c in fixed]
-        share = [1.0, 1.0 + sum(k == FILLER for k, _ in known), 1.0 + sum(k == ERROR for k, _ in known)]
-        for fs, w in zip(open_, weight, strict=True):
-            for k in (REAL, FILLER, ERROR):
-                if w[k] > 0.01:
-                    share[k] += w[k]
-                    here = counts[k]
-                    for f in fs:
-                        here[f] = here.get(f, 0.0) + w[k]
-        vocabulary = {f for c in counts for f, n in c.items() if n >= 2} | set(fixed[FILLER]) | set(fixed[ERROR])
-        smooth, size = SMOOTH, len(vocabulary) + 1
-        total = [sum(c.values()) + smooth * size for c in counts]
-        odds = [{f: math.log((counts[k].get(f, 0.0) + smooth) / total[k]) - math.log((counts[REAL].get(f, 0.0) + smooth) / total[REAL]) for f in vocabulary} for k in (FILLER, ERROR)]
-        prior = [math.log(share[k] / sum(share)) for k in (REAL, FILLER, ERROR)]
-        weight = []
-        for fs in open_:
-            s = [prior[REAL], prior[FILLER] + score(odds[0], fs) - MIN_FILLER, prior[ERROR] + score(odds[1], fs) - MIN_ERROR]
-            top = max(s)
-            e = [math.exp(x - top) for x in s]
-            weight.append(tuple(x / sum(e) for x in e))
+    size = 1 << BITS
+    hinted = _hinted(docs)
+    odds, prior = np.zeros((2, size), np.float32), np.zeros(3)
+    for step in range(rounds):
+        model = docs.sparkSession.sparkContext.broadcast((odds, prior))
+
+        def tally(batches: Iterator[pa.RecordBatch], step: int = step, model=model) -> Iterator[pa.RecordBatch]:
+            total, sure, share = np.zeros((3, size)), np.zeros(size, bool), np.zeros(3)
+            now, before = model.value
+            for batch in batches:
+                hints = batch.column("hint").to_numpy()
+                for at, texts in _chunks([plain_forms(t) for t in batch.column("text").to_pylist()]):
+                    p = Passages(texts)
+                    known, weight = _trusted(p, hints[at : at + len(texts)])
+                    if step:
+                        s = np.stack([np.full(p.n, before[0]), before[1] + p.score(now[0]) - MIN_FILLER, before[2] + p.score(now[1]) - MIN_ERROR], axis=1)
+                        e = np.exp(s - s.max(axis=1, keepdims=True))
+                        weight[known < 0] = (e / e.sum(axis=1, keepdims=True))[known < 0]
+                    for k in (REAL, FILLER, ERROR):
+                        w = np.where(weight[:, k] > 0.01, weight[:, k], 0.0)
+                        total[k] += np.bincount(p.feature, weights=w[p.of], minlength=size)
+                        share[k] += w.sum()
+                    sure[p.feature[known[p.of] >= 0]] = True
+            at = np.flatnonzero(total.any(axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, size), pa.int32()), *[pa.array(np.append(total[k, at], share[k])) for k in range(3)], pa.array(np.append(sure[at], True))], ["f", "real", "filler", "error", "sure"])
+
+        schema = "f int, real double, filler double, error double, sure boolean"
+        rows = hinted.mapInArrow(tally, schema).groupBy("f").agg(*[F.sum(c).cast("float").alias(c) for c in ("real", "filler", "error")], F.max("sure").alias("sure")).where("sure or real + filler + error >= 2").toArrow()
+        model.unpersist()
+        f = rows.column("f").to_numpy()
+        counts = np.zeros((3, size + 1))
+        counts[:, f] = [rows.column(c).to_numpy() for c in ("real", "filler", "error")]
+        prior = np.log((counts[:, size] + 1) / (counts[:, size].sum() + 3))
+        f = f[f < size]
+        n = counts[:, :size].sum(axis=1)
+        # Each class leans to what is usual in all: what a class was never seen to have speaks against it, however small it is.
+        usual = counts[:, f].sum(axis=0) / max(n.sum(), 1.0)
+        share_of = lambda k: (counts[k, f] + SMOOTH * usual) / (n[k] + SMOOTH)
+        odds = np.zeros((2, size), np.float32)
+        for i, k in enumerate((FILLER, ERROR)):
+            # A class that no trusted passage is of is not looked for.
+            if counts[k, size] > 0:
+                odds[i, f] = np.clip(np.log(share_of(k)) - np.log(share_of(REAL)), -MOST, MOST)
     return odds
 
 
-def score(odds: dict[str, float], fs: list[str]) -> float:
-    return sum([odds.get(f, 0.0) for f in fs])
+def decide(p: Passages, n: int, odds: np.ndarray) -> np.ndarray:
+    """REAL, FILLER or ERROR for each of n documents.
 
-
-def decide(text: str | None, odds: list[dict[str, float]]) -> str | None:
-    """What a document holds in place of content: 'placeholder', 'filler' or 'error', else None.
-
-    One placeholder or filler passage marks a document however much real text is around it; errors and notices only
-    mark it if no real sentence or table row stands beside them. Null, empty and white-space texts are None.
+    One filler passage marks a document however much real text is around it; errors and notices only mark it if no real
+    sentence or table row stands beside them. A passage is filler itself, and does not just name it, if most of its words are of filler's vocabulary.
     """
-    if not text or not text.strip():
-        return None
-    filler, error = odds
-    fget, eget = filler.get, error.get
-    real, bad = False, 0.0
-    found = None
-    for p in passages_of(text):
-        tokens, forms = tokens_of(p)
-        if not tokens:
-            continue
-        if forms and any(fget(f, 0.0) >= MIN_PLACEHOLDER for f in forms):
-            return "placeholder"
-        as_filler = sum([fget(t, 0.0) for t in tokens])
-        if as_filler > CLEAR or not real:
-            fs = features(tokens)
-            as_filler, as_error = score(filler, fs), score(error, fs)
-            if as_filler >= MIN_FILLER and as_filler > as_error:
-                # Exact check: filler is the passage itself, not named in it; most of its words are of its vocabulary.
-                odd = sum([fget(t, 0.0) > 0 for t in tokens])
-                if 2 * odd > len(tokens) and len(tokens) > 2:
-                    found = found or "filler"
-            if real:
-                continue
-            words = sum([t[0] not in "0⟦" for t in tokens])
-            if as_error > 0:
-                bad += as_error
-            elif words >= REAL_WORDS and p.endswith(_ENDS) or "|" in p and "0" in tokens or words >= 14:
-                real = True
-    if found:
-        return found
-    return "error" if bad >= MIN_ERROR and not real else None
-
-
-def fit_sample(documents: DataFrame, trusted: int = TRUSTED, unlabelled: int = UNLABELLED, chars: int = SAMPLE_CHARS) -> list[dict[str, float]]:
-    """The model from a bounded sample: the records of each kind, and other documents, that come first by a hash of their id."""
-    text, n = F.lower("text"), F.length("text")
-    forms = F.regexp_count("text", F.lit(r"\{\{|\{%|<%|\$\{|@@|\[\[|«|<<|__[A-Z]|(?:\[|\()(?:insert|enter)|#REF!|%[A-Z_]+%|FIXME"))
-    first = F.xxhash64("doc_id")
-    short = documents.where((n > 0) & (n <= TRUSTED_CHARS) & ~F.contains("text", F.lit("“")))
-    error = short.where((n <= 260) & text.rlike("(?s)" + ERROR_SEEDS)).orderBy(first).limit(trusted).select(F.lit(ERROR).alias("k"), "text")
-    filler = short.where(text.rlike(FILLER_SEEDS) & ~text.rlike(r"\d\d") | (n <= 400) & (forms >= 3)).orderBy(first).limit(trusted).select(F.lit(FILLER).alias("k"), "text")
-    other = documents.where((n > 0) & (n <= chars)).orderBy(first).limit(unlabelled).select(F.lit(REAL).alias("k"), "text")
-    rows = [(r.k, r.text) for r in error.unionAll(filler).unionAll(other).collect()]
-    return fit([r for r in rows if r[0] != REAL], [t for k, t in rows if k == REAL])
-
-
-def residue(documents: DataFrame, model: list[dict[str, float]] | None = None) -> DataFrame:
+    filler, error = p.score(odds[0]), p.score(odds[1])
+    odd = np.bincount(p.passage, weights=odds[0][p.token] > 0, minlength=p.n)
+    is_filler = (filler >= MIN_FILLER) & (filler >= error - MOST) & (2 * odd > p.tokens) & (p.tokens > 2)
+    # A sentence that shares some turns with notices is none: most of a notice's pairs of words are known from notices.
+    pair = slice(len(p.token), None)
+    pairs = np.bincount(p.of[pair], minlength=p.n)
+    like = np.bincount(p.of[pair], weights=odds[1][p.feature[pair]] > 0, minlength=p.n) >= ALIKE * pairs
+    real = (error <= 0) & ((p.words >= REAL_WORDS) & p.ended | p.barred & (p.numbers > 0) | (p.words >= LONG_WORDS))
+    count = lambda w: np.bincount(p.doc, weights=w, minlength=n)
+    out = np.full(n, REAL)
+    out[(count(real) == 0) & (count(np.where(like, np.maximum(error, 0.0), 0.0)) >= MIN_ERROR)] = ERROR
+    out[count(is_filler) > 0] = FILLER
+    return out
+
+
+def residue(documents: DataFrame) -> DataFrame:
     """(doc_id, kind) of the documents that hold residue in place of content; kind: placeholder, filler or error.
 
-    The model is fitted on a sample of bounded size and sent to the workers; every whole text is scored there, in one
-    pass without a shuffle. Repeated rows give a row each; rows with a null doc_id are left out. Other columns are not read.
+    A placeholder counts before filler, filler before an error. Null, empty and white-space texts hold none. Repeated rows of a
+    doc_id give one row for each kind of theirs at most; rows with a null doc_id are left out. Other columns are not read, and
+    texts are never shuffled.
     """
-    docs = documents.where("doc_id is not null").select("doc_id", "text")
-    odds = documents.sparkSession.sparkContext.broadcast(model if model is not None else fit_sample(docs))
+    spark = documents.sparkSession
+    docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
+    forms = _forms_table(docs)
+    form_model = fit_forms(forms)
+    left = form_model.odds is not None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def placeholders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, kinds = batch.column(0), [decide(t, odds.value) for t in batch.column(1).to_pylist()]
-            hit = [i for i, k in enumerate(kinds) if k]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(hit, pa.int64())), pa.array([kinds[i] for i in hit], pa.string())], ["doc_id", "kind"])
+            rows = batch.to_pylist()
+            yield batch.select(["doc_id"]).filter(pa.array([left and r["trusted"] is not False and (r["trusted"] or form_model.score(r["manner"], r["inner"], r["beside"]) >= MIN_PLACEHOLDER) for r in rows], pa.bool_()))
 
-    return docs.mapInArrow(run, f"doc_id {kind}, kind string")
+    marked = forms.mapInArrow(placeholders, f"doc_id {kind}").distinct()
+    odds = spark.sparkContext.broadcast(fit(docs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, kinds = batch.column("doc_id"), []
+            for _, texts in _chunks([plain_forms(t) for t in batch.column("text").to_pylist()]):
+                kinds.append(decide(Passages(texts), len(texts), odds.value))
+            k = np.concatenate(kinds) if kinds else np.zeros(0, np.int64)
+            hit = np.flatnonzero(k != REAL)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(hit)), pa.array(["filler" if k[i] == FILLER else "error" for i in hit], pa.string())], ["doc_id", "kind"])
+
+    others = docs.where(F.trim("text") != "").mapInArrow(run, f"doc_id {kind}, kind string")
+    both = marked.withColumn("kind", F.lit("placeholder")).unionByName(others)
+    order = F.when(F.col("kind") == "placeholder", 0).when(F.col("kind") == "filler", 1).otherwise(2)
+    return both.groupBy("doc_id").agg(F.min_by("kind", order).alias("kind"))

@@ -384,16 +384,25 @@ def test_groups_of_items(spark):
 REPORT = "Revenue rose by {} per cent in the year after the depot near Harbour {} was enlarged, while costs fell slightly. The board noted the change."
 
 
-def corpus():
+TEMPLATES = ["Lane: {{client_ref}}\nPlace: [insert place]\nDate: %CLIENT_REF%\nTotal: {place}", "Place: [client ref]\nLane: [insert place]\nTotal: {{ place }}", "Date: {client_ref}\nLane: %PLACE%\nPlace: {{client_ref}}\nTotal: <client ref>"]
+
+
+def corpus(templates=True):
     docs, want = [], {}
     words = ["north", "south", "east", "west", "upper", "lower", "old", "new"]
     for i in range(240):
         docs.append(REPORT.format(i % 37, words[i % 8]) + " " + REPORT.format(i % 11, words[i % 5]))
+        if i % 12 == 0:
+            docs.append("Invoices print the field “{{client_ref}}” of the layout [sic] as the depot name; the board noted this.")
+    for i in range(24 if templates else 0):
+        want[len(docs)] = "placeholder"
+        docs.append(TEMPLATES[i % 3])
     cases = {
         "404 Not Found": "error", "Menu\nPlease enable JavaScript to view this report.": "error", "HTTP Error 503. The service is unavailable.": "error", "Please\nenable\nJavaScript to view this report.": "error",
-        REPORT.format(3, "{{client_ref}}"): "placeholder", "Dear %CLIENT_REF%,\n" + REPORT.format(5, "east"): "placeholder", REPORT.format(3, "[insert place]"): "placeholder",
+        REPORT.format(3, "{{client_ref}}"): "placeholder", "Dear %CLIENT_REF%,\n" + REPORT.format(5, "east"): "placeholder", REPORT.format(3, "[insert place]"): "placeholder", REPORT.format(3, "<client ref>"): "placeholder",
         REPORT.format(1, "old") + "\nLorem ipsum dolor sit amet nostrud veniam. Lorem ipsum nostrud amet dolor.": "filler", "Text goes here. Text goes here. Text goes here.": "filler",
-        REPORT.format(3, "“{{client_ref}}”"): None, "Customers who met a “404 Not Found” page while tracking parcels fell slightly in the year after the depot was enlarged.": None, "Depot closed on 3 May 2024. Deliveries resume the next day.": None,
+        "Invoices print “{{client_ref}}” where the name of a customer is not known to the board.": None, "Customers who met a “404 Not Found” page while tracking parcels fell slightly in the year after the depot was enlarged.": None, "Depot closed on 3 May 2024. Deliveries resume the next day.": None,
+        "Our manual says to write {count} in the text field of each call.": None, "We are hiring right now and look for drivers in the north.": None, "Tests of that belt took long hours [sic] again.": None, "The report names lorem ipsum as the text that the board noted in the year.": None,
         "": None, "  \n": None,
     }
     for _ in range(4):
@@ -412,17 +421,36 @@ def test_residue(spark):
     assert residue.residue(df.limit(0)).count() == 0
 
 
+def test_without_trusted_records_nothing_is_found(spark):
+    """Placeholders are learnt from templates, and errors and filler from their trusted passages."""
+    docs, want = corpus(templates=False)
+    seeds = ("404 Not", "JavaScript", "HTTP Error", "Lorem", "Text goes")
+    kept = [(i, t) for i, t in enumerate(docs) if not any(s in t for s in seeds)]
+    assert any(want.get(i) == "placeholder" for i, _ in kept)
+    assert residue.residue(spark.createDataFrame(kept, "doc_id bigint, text string")).count() == 0
+
+
 def test_residue_in_a_long_text(spark):
     docs, _ = corpus()
-    odds = residue.fit([(residue.ERROR, "404 Not Found"), (residue.FILLER, "Total: {{sum}}\nDate: {{date}}")] * 3, docs[:200])
-    long = " ".join(docs[:240]) * 4
-    assert residue.decide(long, odds) is None and residue.decide(long + " ${total} " + long, odds) == "placeholder"
-    assert residue.decide(None, odds) is None
+    long = " ".join(docs[:260]).replace("{{client_ref}}", "x") * 40
+    rows = list(enumerate(docs)) + [(9001, long), (9002, long + " Cost is {{ client_ref }} for the year. " + long), (9003, long + "\nLorem ipsum dolor sit amet nostrud veniam.\n" + long)]
+    got = {r.doc_id: r.kind for r in residue.residue(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {i: got.get(i) for i in (9001, 9002, 9003)} == {9001: None, 9002: "placeholder", 9003: "filler"}
+
+
+def test_passages_and_tokens():
+    p = residue.Passages(["One two. Three 1,234.5 four\nfive", "", "Please\nenable\nit now. x | 2", "क्या हुआ। Ünïcode 日本 😀"])
+    assert [p.text(i) for i in range(p.n)] == ["One two.", "Three 1,234.5 four", "five", "Please\nenable\nit now.", "x | 2", "क्या हुआ।", "Ünïcode 日本 😀"]
+    assert p.doc.tolist() == [0, 0, 0, 2, 2, 3, 3] and p.tokens.tolist() == [2, 3, 1, 4, 2, 2, 2]
+    assert p.ended.tolist() == [True, False, False, True, False, True, False] and p.barred.tolist() == [False] * 4 + [True, False, False] and p.numbers.tolist() == [0, 1, 0, 0, 1, 0, 0]
+    a, b = residue.Passages(["same WORDS here 12"]), residue.Passages(["x" * 5000 + "\nSame words HERE 99"])
+    assert a.feature.tolist() == b.feature[b.of == 1].tolist()
+    assert residue.Passages(["", "  "]).n == 0 and residue.Passages(["sdfgh kjhg xkcdbrtz word"]).token[:2].tolist() == residue.Passages(["asdfgh zxcvb"]).token.tolist()
 
 
-def test_pairs_of_forms_are_not_quoted():
-    for t, n in {"“{{a}}” stays": 0, "{{a}} left": 1, 'the field "{x}" is': 0, "see note [a] and [1]": 0, "[à compléter]": 1, "44% of 10%": 0, "#REF!": 1, "XX.X%": 1, "[●]": 1}.items():
-        assert len(residue.tokens_of(t)[1]) == n, t
+def test_forms_and_quotations():
+    for t, manners in {"“{{a}}” stays": ["quoted braces2"], "{{a}} left": ["open braces2"], 'the field "{x}" is': ["quoted brace"], "see note [a] and [1]": [], "[à compléter]": ["open bracket"], "44% of 10%": [], "#REF!": ["open cell"], "XX.X%": ["open exes"], "[●]": ["open bullet"], "«report date» <ceo name>": ["open guillemets", "open angle"], "a < b and c > d": []}.items():
+        assert [m for m, _, _ in residue.occurrences(t)] == manners, t
 
 
 def skewed_vectors(n=20_000):
