@@ -16,6 +16,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,9 +70,9 @@ FORMS = {
 _QUOTED = r"“[^”]{1,120}”|„[^“”]{1,120}[“”]|(?<![:{,] )(?<![{:,\w])\"[^\"\n:]{1,120}\"(?!\s*:)"
 _ALL_FORMS = re.compile("|".join(f"(?P<{n}>{p})" for n, p in FORMS.items()))
 _QUOTES = re.compile(_QUOTED)
-#: What a text must hold for any form or quotation to stand in it.
-_SIGNS = re.compile(r"[{}<>\[\]@«#“„\"]|__|%(?=[A-Za-z])|\((?=[ietaypn])|\b(?:FIXME|TODO|TB[DC]|XX)|\bX{1,4}[.,]X")
-SIGNS = r"[{}<>\[\]@«#]|__|%[A-Za-z]|\((?:insert|enter|type|add|your|please|to be|name of)\b|\b(?:FIXME|TODO|TB[DC]|XX)|\bX{1,4}[.,]X"
+#: What a text must hold for any form to stand in it, and for any quotation.
+SIGNS = r"[{}<>\[\]@«#]|__|%[A-Za-z]|\((?:insert|enter|type|add|your|please|to be|name of)\b|FIXME|TODO|TB[DC]|XX|X[.,]X"
+_SIGNS_OR_QUOTES = SIGNS + r"|[“„\"]"
 # Words by which a sentence says that it names a form.
 MENTION = {"field", "fields", "placeholder", "placeholders", "variable", "variables", "template", "templates", "token", "tokens", "tag", "tags", "syntax", "literal", "write", "written", "called", "named", "string", "print", "prints", "printed", "layout"}
 #: Stand in a text for a form and for a quotation.
@@ -91,31 +92,29 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 @cache
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each character of the basic plane: its class, its lower case (digits are one), and its bits as a struck key."""
-    kind, low, keys = np.zeros(65536, np.uint8), np.arange(65536, dtype=np.uint32), np.zeros(65536, np.uint8)
-    for i in range(65536):
+    """Of each character: its class, its lower case (digits are one), and four counts of sixteen bits (keys of the home row, of the bottom row, consonants, digits)."""
+    kind, low, counts = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.uint64), np.zeros(0x110000, np.uint64)
+    for i in (*range(0xD800), *range(0xE000, 0x10000)):
         c = chr(i)
-        if 0xD800 <= i < 0xE000:
-            continue
         if c in (_FORM, _QUOTE) or c.isalpha():
             kind[i] = _LETTER
         elif c.isdigit():
-            kind[i], low[i] = _DIGIT, 48
+            kind[i], low[i], counts[i] = _DIGIT, 48, 1 << 48
         elif unicodedata.category(c) in ("Mn", "Mc"):
             kind[i] = _MARK
         elif c.isspace():
             kind[i] = _SPACE
         lower = c.lower()
-        if len(lower) == 1 and kind[i] == _LETTER and ord(lower) < 65536:
+        if kind[i] == _LETTER and len(lower) == 1:
             low[i] = ord(lower)
     kind[10] = _LINE
     for chars, k in ((".!?।", _END), ("\"”)", _CLOSE)):
         for c in chars:
             kind[ord(c)] = k
-    for bit, chars in ((1, _HOME), (2, _BOTTOM), (4, _CONSONANTS)):
+    for shift, chars in ((0, _HOME), (16, _BOTTOM), (32, _CONSONANTS)):
         for c in chars:
-            keys[ord(c)] |= bit
-    return kind, low, keys
+            counts[ord(c)] += np.uint64(1 << shift)
+    return kind, low + np.uint64(1), counts
 
 
 @cache
@@ -142,95 +141,107 @@ class Passages:
     """
 
     def __init__(self, texts: list[str]) -> None:
-        kind, low, keys = _tables()
+        kind, low, counts = _tables()
         joined = "\n".join(texts) + "\n"
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         n = len(codes)
-        c = np.minimum(codes, 65535)
-        k, lower = kind[c], np.where(codes < 65536, low[c], codes).astype(np.uint64)
+        k = kind[codes]
         ends = np.cumsum([len(t) + 1 for t in texts]) - 1  # each text's closing line feed
         inner = (k >= _LETTER) & (k <= _MARK)
-        edge = np.diff(np.concatenate([[0], inner.view(np.int8), [0]]))
-        start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        # Boundaries: line feeds, and white space after a closing mark.
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], inner, [False]])))
+        start, stop = edge[::2], edge[1::2]
+        # Boundaries: line feeds, and white space after a closing mark and what closes a quotation.
         blank = (k == _SPACE) | (k == _LINE)
         last = lambda m, by: np.concatenate([np.zeros(by, bool), m[:-by]])
-        end, close = k == _END, k == _CLOSE
-        closed = end | (close & (last(end, 1) | last(close, 1) & last(end, 2)))
+        end = k == _END
+        closed, close = end.copy(), np.flatnonzero(k == _CLOSE)
+        closed[close[end[np.maximum(close - 1, 0)]]] = True
+        closed[close[closed[np.maximum(close - 1, 0)]]] = True
         cut = (k == _LINE) | (k == _SPACE) & last(closed, 1)
+        # A line of one word goes on in the next, unless that is blank.
         feeds = np.flatnonzero(k == _LINE)
         begin = np.concatenate([[0], feeds[:-1] + 1])
-        spaces = np.concatenate([[0], np.cumsum(blank & (codes != 13))])
         width = feeds - begin
+        gaps = np.flatnonzero((k == _SPACE) & (codes != 13))
+        single = np.searchsorted(gaps, begin) == np.searchsorted(gaps, feeds)
         follow = np.concatenate([blank[1:], [True]])[feeds]
-        broken = (spaces[feeds] == spaces[begin]) & (width >= 1) & (width <= 41) & ~follow
-        cut[feeds[broken]] = False
+        cut[feeds[single & (width >= 1) & (width <= 41) & ~follow]] = False
         cut[ends] = True
-        place = np.cumsum(cut) - cut  # passage of each character; the cutting one ends it
-        number = np.concatenate([[0], np.cumsum(k == _DIGIT)])
-        is_number = (number[stop] - number[start]) == stop - start
+        cuts = np.flatnonzero(cut)
+        # Four counts of each token at once, by differences of running sums.
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(counts[codes], dtype=np.uint64)])
+        inside = sums[stop] - sums[start]
+        size = stop - start
+        field = lambda i: ((inside >> np.uint64(16 * i)) & np.uint64(0xFFFF)).astype(np.int64)
+        is_number = field(3) == size
         # Groups and decimals of one number are one token.
         joins = np.zeros(len(start), bool)
-        if len(start) > 1:
-            gap = np.minimum(stop[:-1], n - 1)
-            joins[1:] = is_number[1:] & is_number[:-1] & (start[1:] - stop[:-1] == 1) & ((codes[gap] == 44) | (codes[gap] == 46))
-        start, stop, is_number = start[~joins], stop[~joins], is_number[~joins]
+        gap = codes[np.minimum(stop[:-1], n - 1)]
+        joins[1:] = is_number[1:] & is_number[:-1] & (start[1:] - stop[:-1] == 1) & ((gap == 44) | (gap == 46))
+        struck = (size >= 3) & ((field(0) == size) | (field(1) == size) | (field(2) == size)) | (size >= 7) & (field(2) >= size - 1)
+        start, stop, is_number, struck = start[~joins], stop[~joins], is_number[~joins], struck[~joins]
         up, down = _powers(1 << max(20, int(n).bit_length()))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum((lower + np.uint64(1)) * up[:n], dtype=np.uint64)])
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(low[codes] * up[:n], dtype=np.uint64)])
         h = _mix((sums[stop] - sums[start]) * down[start])
         h[is_number] = np.uint64(3)
-        h[self._struck(keys[c], start, stop)] = np.uint64(5)
+        h[struck] = np.uint64(5)
         mark = np.where(stop - start == 1, codes[start], 0)
-        form, quote = mark == ord(_FORM), mark == ord(_QUOTE)
-        # Only passages with tokens count; they are numbered anew.
-        ids, p = np.unique(place[start], return_inverse=True)
-        self.n, self.token, self.passage = len(ids), (_mix(h) >> np.uint64(64 - BITS)).astype(np.int64), p
-        pair = np.flatnonzero(p[1:] == p[:-1]) if len(p) else np.zeros(0, np.int64)
-        both = _mix(h[pair] * np.uint64(0xD6E8FEB86659FD93) + h[pair + 1]) >> np.uint64(64 - BITS)
-        self.feature = np.concatenate([self.token, both.astype(np.int64)])
-        self.of = np.concatenate([p, p[pair]])
-        count = lambda m: np.bincount(p, weights=m, minlength=self.n)
-        self.tokens, self.words, self.numbers = np.bincount(p, minlength=self.n), count(~is_number & ~form & ~quote), count(is_number)
-        first = np.full(self.n, n)
-        np.minimum.at(first, p, start)
-        self.doc = np.searchsorted(ends, first, side="left")
+        plain = ~is_number & (mark != ord(_FORM)) & (mark != ord(_QUOTE))
+        # The passage of a token is that of the first cut not before it; only passages with tokens count.
+        place = np.searchsorted(cuts, start)
+        new = np.flatnonzero(np.diff(place, prepend=-1))
+        self.n, self.token = len(new), (_mix(h) >> np.uint64(64 - BITS)).astype(np.int32)
+        self.tokens = np.diff(np.append(new, len(start)))
+        count = lambda m: np.add.reduceat(m.astype(np.int64), new) if len(new) else np.zeros(0, np.int64)
+        self.words, self.numbers = count(plain), count(is_number)
+        self.doc = np.searchsorted(ends, start[new])
+        ids = place[new]
         # The closing character of each passage, spaces aside, and whether it has the bar of a table's row.
-        cuts = np.flatnonzero(cut)
-        seen = np.maximum.accumulate(np.where(blank, -1, np.arange(n)))
-        closing = np.maximum(seen[cuts[ids]], 0)
+        closing = np.maximum(cuts[ids] - 1, 0)
+        for _ in range(3):
+            closing = np.where(blank[closing], np.maximum(closing - 1, 0), closing)
         self.ended = closed[closing] | np.isin(codes[closing], [ord(x) for x in "…:;"])
-        bars = np.concatenate([[0], np.cumsum(codes == ord("|"))])
+        bars = np.flatnonzero(codes == ord("|"))
         since = np.concatenate([[0], cuts[:-1] + 1])[ids]
-        self.barred = bars[cuts[ids] + 1] > bars[since]
+        self.barred = np.searchsorted(bars, since) < np.searchsorted(bars, cuts[ids])
         self.spans = (since, cuts[ids])
         self._joined = joined
 
-    @staticmethod
-    def _struck(keys: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        size = stop - start
-        out = np.zeros(len(start), bool)
-        for bit in (1, 2, 4):
-            total = np.concatenate([[0], np.cumsum(keys & bit > 0)])
-            out |= (total[stop] - total[start] == size) & (size >= 3)
-        run = (keys & 4) > 0
-        six = run.copy()
-        for by in range(1, 6):
-            six &= np.concatenate([np.zeros(by, bool), run[:-by]]) if len(run) > by else False
-        total = np.concatenate([[0], np.cumsum(six)])
-        # A run of six consonants within a word of ASCII letters.
-        return out | ((total[stop] - total[np.minimum(start + 5, stop)]) > 0)
-
     def text(self, i: int) -> str:
         return self._joined[self.spans[0][i] : self.spans[1][i] + 1].strip()
 
-    def score(self, odds: np.ndarray) -> np.ndarray:
-        return np.bincount(self.of, weights=odds[self.feature], minlength=self.n)
+    def shape(self) -> np.ndarray:
+        """Which passages have the shape of a real sentence or of a table's row."""
+        return (self.words >= REAL_WORDS) & self.ended | self.barred & (self.numbers > 0) | (self.words >= LONG_WORDS)
+
+
+class Counted:
+    """Passages as they are written: tokens of all passages of all documents of a batch, and of each passage its features."""
+
+    def __init__(self, token: np.ndarray, tokens: np.ndarray, flags: np.ndarray, doc: np.ndarray) -> None:
+        self.n, self.token, self.tokens, self.flags, self.doc = len(tokens), token, tokens, flags, doc
+        self.passage = np.repeat(np.arange(self.n), tokens)
+        pair = np.flatnonzero(self.passage[1:] == self.passage[:-1])
+        t = token.astype(np.uint64)
+        self.pair = (_mix(t[pair] * np.uint64(0xD6E8FEB86659FD93) + t[pair + 1]) >> np.uint64(64 - BITS)).astype(np.int32)
+        self.pair_of = self.passage[pair]
+
+    @classmethod
+    def of_batch(cls, batch: pa.RecordBatch) -> Counted:
+        sizes, token, flags = batch.column("sizes"), batch.column("token"), batch.column("flags")
+        doc = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(sizes)))
+        return cls(np.asarray(token.flatten()), np.asarray(sizes.flatten()).astype(np.int64), np.asarray(flags.flatten()), doc)
+
+    def sums(self, of_feature: np.ndarray) -> np.ndarray:
+        return np.bincount(self.passage, weights=of_feature[self.token], minlength=self.n) + np.bincount(self.pair_of, weights=of_feature[self.pair], minlength=self.n)
+
+    def tally(self, weight: np.ndarray, size: int) -> np.ndarray:
+        """The weight of the passages that each feature is in."""
+        return np.bincount(self.token, weights=weight[self.passage], minlength=size) + np.bincount(self.pair, weights=weight[self.pair_of], minlength=size)
 
 
 def plain_forms(text: str) -> str:
     """The text with a sign for each form but those in brackets or after a note's word, and one for each quotation."""
-    if not _SIGNS.search(text):
-        return text
     text = _QUOTES.sub(f" {_QUOTE} ", text)
     return _ALL_FORMS.sub(lambda m: m[0] if m.lastgroup in ("bracket", "note", "round", "angle") else f" {_FORM} ", text)
 
@@ -299,7 +310,8 @@ def _forms_table(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            batch = batch.filter(pc.match_substring_regex(batch.column("text"), SIGNS))
+            for i, text in enumerate(batch.column("text").to_pylist()):
                 found = occurrences(text)
                 trusted = bool(found) and is_template(text)
                 for manner, inner, beside in found:
@@ -309,7 +321,7 @@ def _forms_table(docs: DataFrame) -> DataFrame:
             t = pa.RecordBatch.from_pylist(rows, schema)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), *t.columns], ["doc_id", *schema.names])
 
-    return written(docs.where(F.col("text").rlike(SIGNS)).mapInArrow(run, f"doc_id {kind}, trusted boolean, manner int, inner array<int>, beside array<int>"), "forms")
+    return written(docs.mapInArrow(run, f"doc_id {kind}, trusted boolean, manner int, inner array<int>, beside array<int>"), "forms")
 
 
 def fit_forms(table: DataFrame, rounds: int = FORM_ROUNDS, context_rounds: int = CONTEXT_ROUNDS) -> FormModel:
@@ -356,13 +368,6 @@ def fit_forms(table: DataFrame, rounds: int = FORM_ROUNDS, context_rounds: int =
     return model
 
 
-def _hinted(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and which seeds a text holds: trusted passages are looked for only there."""
-    low = F.lower("text")
-    hint = F.when((F.length("text") <= TRUSTED_CHARS) & ~F.contains("text", F.lit("“")) & low.rlike("(?s)" + ERROR_SEEDS), ERROR).when(low.rlike("(?:" + FILLER_SEEDS + ")"), FILLER).otherwise(REAL)
-    return docs.where(F.trim("text") != "").select("doc_id", "text", hint.alias("hint"))
-
-
 def _chunks(texts: list[str], size: int = CHUNK) -> Iterator[tuple[int, list[str]]]:
     """Runs of texts of about so many characters together, a longer text alone, with the place of the first."""
     at, part, n = 0, [], 0
@@ -376,54 +381,88 @@ def _chunks(texts: list[str], size: int = CHUNK) -> Iterator[tuple[int, list[str
         yield at, part
 
 
-def _trusted(p: Passages, hint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each trusted passage, else -1; weights (n, 3) that each passage begins with)."""
-    known, weight = np.full(p.n, -1), np.tile([1.0, 0.0, 0.0], (p.n, 1))
+def _flags(p: Passages, hint: np.ndarray) -> np.ndarray:
+    """Of each passage: 1 for the shape of a real one, 2 if it is trusted to be filler, 4 to be an error, 8 for another of a trusted error's record."""
+    out = p.shape().astype(np.int8)
     of = hint[p.doc]
-    for k in (ERROR, FILLER):
+    for k, bit in ((FILLER, 2), (ERROR, 4)):
         for i in np.flatnonzero(of == k).tolist():
             if _SEEDS[k].search(p.text(i).lower()):
-                known[i] = k
+                out[i] |= bit
     # A trusted error is short: its other passages are as likely to be of it as real.
-    weight[of == ERROR] = [0.5, 0.0, 0.5]
-    weight[known >= 0] = np.eye(3)[known[known >= 0]]
-    return known, weight
+    out[(of == ERROR) & (out & 6 == 0)] |= 8
+    return out
+
 
+def _passage_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, token, sizes, flags): the tokens of each document with any, and of its passages the number of tokens and the flags; written.
 
-def fit(docs: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
+    Later passes read these small numbers in place of the texts.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column("text")
+            hint = np.where(np.asarray(pc.match_substring_regex(text, FILLER_SEEDS, ignore_case=True)), FILLER, REAL)
+            short = np.flatnonzero(np.asarray(pc.and_(pc.less_equal(pc.utf8_length(text), TRUSTED_CHARS), pc.invert(pc.match_substring(text, "“")))))
+            hint[short[np.asarray(pc.match_substring_regex(text.take(pa.array(short)), "(?s)" + ERROR_SEEDS, ignore_case=True))]] = ERROR
+            texts = text.to_pylist()
+            for i in np.flatnonzero(np.asarray(pc.match_substring_regex(text, _SIGNS_OR_QUOTES))).tolist():
+                texts[i] = plain_forms(texts[i])
+            for at, part in _chunks(texts):
+                p = Passages(part)
+                flags = _flags(p, hint[at : at + len(part)])
+                held = np.bincount(p.doc, minlength=len(part))
+                inside = np.bincount(p.doc, weights=p.tokens, minlength=len(part))
+                offsets = lambda c: pa.array(np.concatenate([[0], np.cumsum(c)]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets(c), pa.array(v)) for c, v in ((inside, p.token), (held, p.tokens.astype(np.int32)), (held, flags))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(part)), *lists], ["doc_id", "token", "sizes", "flags"]).filter(pa.array(held > 0))
+
+    return written(docs.mapInArrow(run, f"doc_id {kind}, token array<int>, sizes array<int>, flags array<tinyint>"), "passages")
+
+
+def fit(passages: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
     """(2, 2^BITS): log-odds of each feature against real content, for filler and for errors; from all passages of all documents.
 
     Trusted passages keep their class. All others are reweighed in each round by the posterior of the model before, less the
-    margins of the decisions. Each round is one pass over the texts; only counts by hashed feature come to the driver.
+    margins of the decisions; they begin as real, those beside a trusted error as half of it. Only counts by hashed feature come to the driver.
     """
     size = 1 << BITS
-    hinted = _hinted(docs)
     odds, prior = np.zeros((2, size), np.float32), np.zeros(3)
     for step in range(rounds):
-        model = docs.sparkSession.sparkContext.broadcast((odds, prior))
+        model = passages.sparkSession.sparkContext.broadcast((odds, prior))
 
         def tally(batches: Iterator[pa.RecordBatch], step: int = step, model=model) -> Iterator[pa.RecordBatch]:
             total, sure, share = np.zeros((3, size)), np.zeros(size, bool), np.zeros(3)
             now, before = model.value
             for batch in batches:
-                hints = batch.column("hint").to_numpy()
-                for at, texts in _chunks([plain_forms(t) for t in batch.column("text").to_pylist()]):
-                    p = Passages(texts)
-                    known, weight = _trusted(p, hints[at : at + len(texts)])
-                    if step:
-                        s = np.stack([np.full(p.n, before[0]), before[1] + p.score(now[0]) - MIN_FILLER, before[2] + p.score(now[1]) - MIN_ERROR], axis=1)
-                        e = np.exp(s - s.max(axis=1, keepdims=True))
-                        weight[known < 0] = (e / e.sum(axis=1, keepdims=True))[known < 0]
-                    for k in (REAL, FILLER, ERROR):
-                        w = np.where(weight[:, k] > 0.01, weight[:, k], 0.0)
-                        total[k] += np.bincount(p.feature, weights=w[p.of], minlength=size)
-                        share[k] += w.sum()
-                    sure[p.feature[known[p.of] >= 0]] = True
+                p = Counted.of_batch(batch)
+                weight = np.zeros((3, p.n))
+                if step:
+                    s = np.stack([np.full(p.n, before[0]), before[1] + p.sums(now[0]) - MIN_FILLER, before[2] + p.sums(now[1]) - MIN_ERROR])
+                    e = np.exp(s - s.max(axis=0))
+                    weight[:] = e / e.sum(axis=0)
+                else:
+                    weight[ERROR] = 0.5 * (p.flags & 8 > 0)
+                    weight[REAL] = 1.0 - weight[ERROR]
+                known = (p.flags & 6) > 0
+                weight[:, known] = 0.0
+                weight[FILLER, p.flags & 2 > 0] = weight[ERROR, p.flags & 4 > 0] = 1.0
+                weight[weight <= 0.01] = 0.0
+                share += weight.sum(axis=1)
+                total[REAL] += p.tally(weight[REAL], size)
+                # Few passages are of the other classes: only those are counted.
+                for k in (FILLER, ERROR):
+                    t, q = np.flatnonzero(weight[k][p.passage]), np.flatnonzero(weight[k][p.pair_of])
+                    total[k] += np.bincount(p.token[t], weights=weight[k][p.passage[t]], minlength=size) + np.bincount(p.pair[q], weights=weight[k][p.pair_of[q]], minlength=size)
+                sure[p.token[known[p.passage]]] = True
+                sure[p.pair[known[p.pair_of]]] = True
             at = np.flatnonzero(total.any(axis=0))
             yield pa.RecordBatch.from_arrays([pa.array(np.append(at, size), pa.int32()), *[pa.array(np.append(total[k, at], share[k])) for k in range(3)], pa.array(np.append(sure[at], True))], ["f", "real", "filler", "error", "sure"])
 
         schema = "f int, real double, filler double, error double, sure boolean"
-        rows = hinted.mapInArrow(tally, schema).groupBy("f").agg(*[F.sum(c).cast("float").alias(c) for c in ("real", "filler", "error")], F.max("sure").alias("sure")).where("sure or real + filler + error >= 2").toArrow()
+        rows = passages.select("token", "sizes", "flags").mapInArrow(tally, schema).groupBy("f").agg(*[F.sum(c).cast("float").alias(c) for c in ("real", "filler", "error")], F.max("sure").alias("sure")).where("sure or real + filler + error >= 2").toArrow()
         model.unpersist()
         f = rows.column("f").to_numpy()
         counts = np.zeros((3, size + 1))
@@ -442,20 +481,18 @@ def fit(docs: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
     return odds
 
 
-def decide(p: Passages, n: int, odds: np.ndarray) -> np.ndarray:
+def decide(p: Counted, n: int, odds: np.ndarray) -> np.ndarray:
     """REAL, FILLER or ERROR for each of n documents.
 
     One filler passage marks a document however much real text is around it; errors and notices only mark it if no real
-    sentence or table row stands beside them. A passage is filler itself, and does not just name it, if most of its words are of filler's vocabulary.
+    sentence or table row stands beside them. A passage is filler itself, and does not just name it, if most of its words are of
+    filler's vocabulary; a sentence that shares some turns with notices is none: most of a notice's pairs of words are known from notices.
     """
-    filler, error = p.score(odds[0]), p.score(odds[1])
+    filler, error = p.sums(odds[0]), p.sums(odds[1])
     odd = np.bincount(p.passage, weights=odds[0][p.token] > 0, minlength=p.n)
-    is_filler = (filler >= MIN_FILLER) & (filler >= error - MOST) & (2 * odd > p.tokens) & (p.tokens > 2)
-    # A sentence that shares some turns with notices is none: most of a notice's pairs of words are known from notices.
-    pair = slice(len(p.token), None)
-    pairs = np.bincount(p.of[pair], minlength=p.n)
-    like = np.bincount(p.of[pair], weights=odds[1][p.feature[pair]] > 0, minlength=p.n) >= ALIKE * pairs
-    real = (error <= 0) & ((p.words >= REAL_WORDS) & p.ended | p.barred & (p.numbers > 0) | (p.words >= LONG_WORDS))
+    is_filler = (filler >= MIN_FILLER) & ((filler > error) | (p.flags & 2 > 0)) & (2 * odd > p.tokens) & (p.tokens > 2)
+    like = np.bincount(p.pair_of, weights=odds[1][p.pair] > 0, minlength=p.n) >= ALIKE * np.bincount(p.pair_of, minlength=p.n)
+    real = (error <= 0) & (p.flags & 1 > 0)
     count = lambda w: np.bincount(p.doc, weights=w, minlength=n)
     out = np.full(n, REAL)
     out[(count(real) == 0) & (count(np.where(like, np.maximum(error, 0.0), 0.0)) >= MIN_ERROR)] = ERROR
@@ -483,18 +520,16 @@ def residue(documents: DataFrame) -> DataFrame:
             yield batch.select(["doc_id"]).filter(pa.array([left and r["trusted"] is not False and (r["trusted"] or form_model.score(r["manner"], r["inner"], r["beside"]) >= MIN_PLACEHOLDER) for r in rows], pa.bool_()))
 
     marked = forms.mapInArrow(placeholders, f"doc_id {kind}").distinct()
-    odds = spark.sparkContext.broadcast(fit(docs))
+    passages = _passage_table(docs)
+    odds = spark.sparkContext.broadcast(fit(passages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, kinds = batch.column("doc_id"), []
-            for _, texts in _chunks([plain_forms(t) for t in batch.column("text").to_pylist()]):
-                kinds.append(decide(Passages(texts), len(texts), odds.value))
-            k = np.concatenate(kinds) if kinds else np.zeros(0, np.int64)
+            k = decide(Counted.of_batch(batch), batch.num_rows, odds.value)
             hit = np.flatnonzero(k != REAL)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(hit)), pa.array(["filler" if k[i] == FILLER else "error" for i in hit], pa.string())], ["doc_id", "kind"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(hit)), pa.array(["filler" if k[i] == FILLER else "error" for i in hit], pa.string())], ["doc_id", "kind"])
 
-    others = docs.where(F.trim("text") != "").mapInArrow(run, f"doc_id {kind}, kind string")
+    others = passages.mapInArrow(run, f"doc_id {kind}, kind string")
     both = marked.withColumn("kind", F.lit("placeholder")).unionByName(others)
     order = F.when(F.col("kind") == "placeholder", 0).when(F.col("kind") == "filler", 1).otherwise(2)
     return both.groupBy("doc_id").agg(F.min_by("kind", order).alias("kind"))
