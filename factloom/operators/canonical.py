@@ -67,13 +67,14 @@ def singular(c: Column) -> Column:
 
 def derive_attribute(attribute: Column, others: list[Column]) -> Column:
     """The cleaned attribute unless empty or generic; else the first other field that is neither and names a measure; else ''."""
-    own = clean_attribute(attribute)
     fits = lambda c: (c != "") & ~c.isin(GENERIC)
-    chain = F.when(fits(own), own)
-    for o in others:
-        c = clean_attribute(o)
-        chain = chain.when(fits(c) & has_semantic_content(c), c)
-    return chain.otherwise("")
+
+    def after(rest: list[Column]) -> Column:
+        if not rest:
+            return F.lit("")
+        return T.let(clean_attribute(rest[0]), lambda c: F.when(fits(c) & has_semantic_content(c), c).otherwise(after(rest[1:])))
+
+    return T.let(clean_attribute(attribute), lambda own: F.when(fits(own), own).otherwise(after(others)))
 
 
 def canonicalize(facts: DataFrame) -> DataFrame:
@@ -88,13 +89,13 @@ def canonicalize(facts: DataFrame) -> DataFrame:
     named = T.text_of("time") != ""
     f = facts.withColumn("_a", attribute)
     time = F.when(named, norm_text(F.col("time"))).when(F.col("_a") != "", norm_text_or_null(extract_time(F.col("attribute")))).otherwise(F.col("time"))
-    quoted = numeric_candidates(F.col("exact_quote"))
-    recover = (T.text_of("raw_value") != "") & F.col("normalized_value").isNull() & (F.size(numeric_candidates(F.col("raw_value"))) == 0) & (F.size(quoted) == 1)
+    lacks = (T.text_of("raw_value") != "") & F.col("normalized_value").isNull() & (F.size(numeric_candidates(F.col("raw_value"))) == 0)
+    only = T.let(numeric_candidates(F.col("exact_quote")), lambda q: F.when(F.size(q) == 1, F.get(q, F.lit(0))))
     changes = {
         "entity": F.when(T.text_of("entity") != "", T.strip(F.col("entity"))).otherwise(F.col("entity")),
         "attribute": F.col("_a"),
         "time": F.coalesce(time, F.col("time")),
-        "raw_value": F.when(recover, F.get(quoted, F.lit(0))).otherwise(F.col("raw_value")),
+        "raw_value": F.coalesce(F.when(lacks, only), F.col("raw_value")),
         "status": F.when((F.col("_a") == "") | F.col("_a").isin(GENERIC), "UNCERTAIN").otherwise(F.col("status")),
     }
     return f.select(*[F.when(valid, changes[c]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in facts.columns])

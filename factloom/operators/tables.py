@@ -19,8 +19,8 @@ UNIT_COLUMNS = ["₹", "rs", "inr", "usd", "million", "crore", "cr", "lakhs"]
 SERIAL_COLUMNS = ["s. no.", "s.no.", "no.", "serial", "sr. no."]
 FACT_METADATA = ["table", "row", "column", "s. no.", "s.no.", "serial", "no."]
 TABLE_METADATA = ["table", "row", "s. no.", "s.no.", "serial"]
-# The reasons a route is given for.
-FEW_PAIRS, NO_VALUE_COLUMNS, REGULAR_ROW, STRUCTURAL, AMBIGUOUS = "Insufficient key-value structure", "No reliable value-bearing columns detected", "Regular key-value table row", "Mostly structural/header information", "Table structure is ambiguous"
+#: Codes of why a row takes its route.
+FEW_PAIRS, NO_VALUE_COLUMNS, REGULAR_ROW, STRUCTURAL, AMBIGUOUS = "FEW_PAIRS", "NO_VALUE_COLUMN", "REGULAR", "HEADER_LIKE", "UNCLEAR"
 NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 NO_ROW_NUMBER = 10**9
 #: Tokens a batch of table rows may have.

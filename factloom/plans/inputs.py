@@ -18,6 +18,13 @@ def elements(spark: SparkSession, d: str) -> DataFrame:
     return cleanup.elements_of(table(spark, d, "document_elements"))
 
 
+def with_contents(elements: DataFrame) -> DataFrame:
+    """The elements and, as page 0 of each file, a contents page: a line with the page for each heading of the file."""
+    lines = elements.where((F.col("element_type") == "HEADING") & (T.strip(F.col("text")) != ""))
+    entry = F.concat(F.col("text"), F.lit(" . . "), F.col("page_number").cast("string"))
+    return elements.unionByName(lines.withColumns({"element_id": F.concat(F.lit("contents:"), "element_id"), "text": entry, "page_number": F.lit(0), "element_type": F.lit("PROSE")}))
+
+
 def evidence(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     columns = columns or ("source_file", "page_number", "evidence_type", "text", "section_heading", "table_caption", "row_label", "column_label", "number_hints", "unit_hint", "time_hint", "entity_hint")
     return latest(table(spark, d, "evidence_units").select("evidence_id", *columns, "loaded_at"), "evidence_id").drop("loaded_at")
@@ -54,6 +61,11 @@ elements AS (
     FROM document_elements WHERE element_id IS NOT NULL
     QUALIFY row_number() OVER (PARTITION BY element_id ORDER BY loaded_at DESC NULLS LAST, source_file DESC NULLS LAST, page_number DESC, text DESC NULLS LAST) = 1)"""
 
+CONTENTS = f"""
+with_contents AS (
+    SELECT source_file, page_number, text FROM elements
+    UNION ALL SELECT source_file, 0, text || ' . . ' || page_number FROM elements WHERE element_type = 'HEADING' AND {S.strip("text")} <> '')"""
+
 EVIDENCE = """
 evidence AS (
     SELECT * EXCLUDE (loaded_at, embedding) FROM evidence_units WHERE evidence_id IS NOT NULL

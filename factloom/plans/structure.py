@@ -99,7 +99,7 @@ def toc_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def toc_pages(spark: SparkSession, d: str) -> DataFrame:
-    return cleanup.toc_pages(I.elements(spark, d))
+    return cleanup.toc_pages(I.with_contents(I.elements(spark, d)))
 
 
 def filter_elements(spark: SparkSession, d: str) -> DataFrame:
@@ -276,7 +276,9 @@ SQL = {
     "merge_prose_blocks": f"WITH {_BLOCKS} {_BLOCK_ROWS}",
     "join_lines": f"WITH {_BLOCKS} SELECT element_id, text, length(text) AS n_chars FROM ({_BLOCK_ROWS}) WHERE n_lines > 1",
     "toc_lines": f"WITH {I.ELEMENTS} SELECT element_id, text FROM elements WHERE {S.toc_line('text')}",
-    "toc_pages": f"WITH {_TOC} SELECT source_file, page_number, n_texts, n_toc FROM toc",
+    "toc_pages": f"""WITH {I.ELEMENTS}, {I.CONTENTS}
+        SELECT source_file, page_number, count(*) AS n_texts, count(*) FILTER ({S.toc_line("text")}) AS n_toc FROM with_contents WHERE {S.strip("text")} <> ''
+        GROUP BY ALL HAVING n_texts >= 4 AND (bool_or(contains(lower(text), 'contents')) OR n_toc / n_texts >= 0.55)""",
     "filter_elements": f"""WITH {_TOC} SELECT element_id, source_file, page_number, element_type, text FROM elements e WHERE NOT EXISTS (SELECT 1 FROM toc t WHERE t.source_file = e.source_file AND t.page_number = e.page_number)
         AND {S.collapse("text")} <> '' AND NOT CASE element_type WHEN 'TABLE' THEN {_ADMIN} WHEN 'HEADING' THEN {_LOW_HEADING} ELSE {_LOW_PROSE} END""",
     "admin_tables": f"WITH {I.ELEMENTS} SELECT element_id, {_ADMIN_SIGNALS} AS signals, {_ADMIN} AS admin FROM elements WHERE element_type = 'TABLE'",

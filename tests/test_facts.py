@@ -78,22 +78,36 @@ def test_grounding_cases(spark):
     assert (got["cell"].raw_value, got["cell"].column_name, got["cell"].evidence_id, got["cell"].exact_quote) == ("7", "B", "r0", "l |  7 ") and got["bare"].evidence_id == "t1:row:1"
 
 
+def distances(v, kinds):
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    return 1 - u @ u.T + cluster.PENALTY * np.array([[not cluster.compatible(a, b) for b in kinds] for a in kinds])
+
+
 def test_average_linkage_against_brute_force():
     rng = np.random.default_rng(0)
-    for _ in range(20):
-        v = rng.normal(size=(9, 3)).astype(np.float32)
-        d = cluster.distances(v, ["prose"] * 9)
-        groups = [[i] for i in range(9)]
+    for t in range(60):
+        n = 1 + t % 14
+        v, kinds = rng.normal(size=(n, 3)), [("prose", "table", "numeric")[i] for i in rng.integers(0, 3 if t % 2 else 1, n)]
+        d = distances(v, kinds)
+        groups = [[i] for i in range(n)]
         while len(groups) > 1:
             best = min(((np.mean([d[a, b] for a in x for b in y]), i, j) for (i, x), (j, y) in itertools.combinations(enumerate(groups), 2)))
             if best[0] >= 0.4:
                 break
             groups[best[1]] += groups.pop(best[2])
         want = {frozenset(g) for g in groups}
-        labels = cluster.average_linkage(d, 0.4)
+        labels = cluster.average_linkage(v, kinds, 0.4)
         assert {frozenset(np.flatnonzero(labels == k).tolist()) for k in set(labels)} == want
 
 
+def test_average_linkage_of_a_large_block():
+    """Far more members than a matrix of all distances would fit for."""
+    rng = np.random.default_rng(1)
+    v = np.repeat(rng.normal(size=(40, 64)), 50, axis=0) + 0.01 * rng.normal(size=(2000, 64))
+    labels = cluster.average_linkage(v, ["prose"] * 2000, 0.28)
+    assert (labels == np.repeat(np.arange(40), 50)).all()
+
+
 def test_pack_groups_keeps_budget():
     df = pd.DataFrame({"group_id": ["a", "b", "c", "d"], "size": [3, 3, 1, 1], "tokens": [1000, 900, 900, 100], "sources": [{"x"}, {"y"}, {"x"}, {"z"}], "centroid": [np.array([1.0, 0]), np.array([0.99, 0.14]), np.array([0.98, 0.2]), np.array([0, 1.0])]})
     assert packing.pack_groups(df, 2000) == [["a", "b"], ["c"], ["d"]]
@@ -197,7 +211,7 @@ def test_evidence_of_all_files_is_clustered(spark, tmp_path):
     spark.createDataFrame(near_units(), EVIDENCE).write.parquet(f"{tmp_path}/evidence_units.parquet")
     rows = facts.cluster_evidence(spark, str(tmp_path)).collect()
     x = sorted(near_units())
-    labels = cluster.average_linkage(cluster.distances(np.array([r[13] for r in x], np.float32), ["prose"] * len(x)), 1 - cluster.SIMILARITY)
+    labels = cluster.average_linkage(np.array([r[13] for r in x], float), ["prose"] * len(x), 1 - cluster.SIMILARITY)
     want = {frozenset(x[i][0] for i in np.flatnonzero(labels == k)) for k in set(labels.tolist())}
     got = {}
     for r in rows:
